@@ -46,7 +46,7 @@ WITH d AS (
 ), hits AS (
   SELECT p.doc_id, p.s, p.n, win.item_id FROM places p JOIN win ON win.n = p.n AND win.win = array_to_string(p.w[p.s:p.s + p.n - 1], ' ')
 ), hit_words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS word FROM hits) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
