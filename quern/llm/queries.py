@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, simhash
+from quern.llm import decontaminate, packing, simhash, toxicity
 from quern.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,22 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
