@@ -4,15 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, packing, simhash, toxicity
+from quern.llm import decontaminate, lines, packing, pii, secrets, simhash, toxicity
 from quern.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _joined(spans: Column) -> Column:
+    """kind:start:end of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    kinds = [_count(base, k) for k in ("assign", "access", "hex")]
+    order = F.array(*[F.lit(k) for k in ("assign", "access", "hex", "crf")])
+    by_start = F.array_sort("secrets", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise((F.array_position(order, a["kind"]) - F.array_position(order, b["kind"])).cast("int")))
+    return found.select("doc_id", *kinds, _sha(_joined(base)).alias("base_sha256"), _joined(by_start).alias("spans"))
+
+
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = [_count(base, k) for k in pii.BASE]
+    return found.select("doc_id", *kinds, _sha(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, its lines, those dropped as repeats, and the text that stays."""
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,8 +68,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_crf_secret_scan": op1_crf_secret_scan,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op5_weak_supervision_pii": op5_weak_supervision_pii,
+        "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_toxicity": op10_toxicity,
     }
