@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, lines, packing, pii, secrets, simhash, toxicity
+from quern.llm import ann, decontaminate, html, lines, packing, pii, quality, secrets, simhash, toxicity
 from quern.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,19 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -71,8 +84,11 @@ def queries() -> dict[str, Query]:
         "op1_crf_secret_scan": op1_crf_secret_scan,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_additive_quality": op4_additive_quality,
         "op5_weak_supervision_pii": op5_weak_supervision_pii,
         "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
+        "op7_host_suffix_html": op7_host_suffix_html,
+        "op8_anisotropic_search": op8_anisotropic_search,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_toxicity": op10_toxicity,
     }
