@@ -10,6 +10,7 @@ in salted parts, so one very common length is no single task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ from quern.llm.common import small, stage_table
 
 SEQUENCE = 2048
 END_ID = 0
-#: Distinct chunks of text whose ids a worker remembers; it starts anew when they are more.
-REMEMBERED = 300_000
+#: Distinct chunks, and words, whose ids a worker remembers; it starts anew when they are more.
+REMEMBERED = 500_000
 
 
 def default_tokenizer() -> str:
@@ -33,11 +34,17 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: A word of letters alone and ASCII marks after it, none of them an apostrophe: the tokenizer always parts the two.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class ChunkEncoder:
-    """Ids of a text as little-endian 32-bit bytes, remembered chunk by chunk.
+    """Ids of a text as little-endian 32-bit bytes, remembered chunk by chunk and word by word.
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its chunks between spaces and line feeds.
+    text's ids are those of its chunks between spaces and line feeds. It
+    lower-cases letters and parts a word from the marks after it, so most new
+    chunks are made of a known word and known marks.
     """
 
     def __init__(self, path: str):
@@ -45,20 +52,42 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        if chunk.isalpha():
+            return (chunk.lower() if chunk.isascii() else chunk,)
+        m = WORD_AND_MARKS.fullmatch(chunk)
+        return (m[1].lower() if m[1].isascii() else m[1], m[2]) if m else (chunk,)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        known = self.known
-        new = list({c for p in parts for c in p}.difference(known))
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
-            for chunk, enc in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False)):
-                known[chunk] = np.array(enc.ids, "<u4").tobytes()
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        known, words = self.known, self.words
+        new = {c: self._parts(c) for c in set().union(*parts).difference(known)}
+        missing = list({w for own in new.values() for w in own}.difference(words))
+        for at in range(0, len(missing), 5_000):
+            block = missing[at : at + 5_000]
+            for word, enc in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                words[word] = np.array(enc.ids, "<u4").tobytes()
+        for chunk, own in new.items():
+            known[chunk] = b"".join(map(words.__getitem__, own))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
+#: One encoder for each tokenizer file, kept by a worker from task to task.
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder_for(path: str) -> ChunkEncoder:
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the closing ``end_id``.
 
@@ -69,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
     id_type = dict(docs.dtypes)["doc_id"]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(path)
+        encoder = encoder_for(path)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in frames:
             for at in range(0, len(pdf), 500):
