@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,40 +18,41 @@ POSSIBLE = (15, 0.05, 0.50)
 HIGH_RISK = ("DIFFERENT_TARGET", "TRAIN_TO_LOCKED_BENCHMARK")
 
 
-def band_widths(distance: int, bits: int = 64) -> list[int]:
-    """distance + 1 bands: within the distance, two hashes agree on one of them at least. Wider bands come first."""
-    bands = distance + 1
-    return [bits // bands + (i < bits % bands) for i in range(bands)]
-
+def agreement_masks(distance: int, spare: int = 2, bits: int = 64) -> list[int]:
+    """Signed 64-bit masks of which two hashes within the distance agree on one at least.
 
-def banded(hashes: DataFrame, distance: int) -> DataFrame:
-    """``hashes`` with one row for each band: its number and value, from the low bits up."""
-    at, keys = 0, []
-    for i, width in enumerate(band_widths(distance)):
-        mask = -1 if width >= 64 else (1 << width) - 1
-        keys.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", at).bitwiseAND(F.lit(mask)).alias("value")))
-        at += width
+    The bits are cut into distance + spare blocks (wider ones first, from the
+    low bit up), of which ``spare`` stay whole; each mask is one choice of
+    ``spare`` blocks. More spare blocks mean more keys a hash, of more bits
+    each: the spare is what to raise as a corpus grows.
+    """
+    blocks, out, ends = distance + spare, [], [0]
+    for i in range(blocks):
+        ends.append(ends[-1] + bits // blocks + (i < bits % blocks))
+    for chosen in combinations(range(blocks), spare):
+        mask = sum((1 << ends[i + 1]) - (1 << ends[i]) for i in chosen)
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
+
+
+def banded(hashes: DataFrame, distance: int, spare: int = 2) -> DataFrame:
+    """``hashes`` with one row for each mask: its number and the bits under it."""
+    keys = [F.struct(F.lit(i).alias("band"), F.col("hash").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(agreement_masks(distance, spare))]
     return hashes.select("*", F.inline(F.array(*keys)))
 
 
-def near_hashes(hashes: DataFrame, distance: int) -> DataFrame:
+def near_hashes(hashes: DataFrame, distance: int, spare: int = 2) -> DataFrame:
     """Pairs (x, y, distance), x < y, of distinct hashes within ``distance`` bits: all of them, each once.
 
-    A pair is taken in its first common band alone, so no distinct pass over
-    the pairs is needed. Equal hashes are one row from the start.
+    A pair is taken under its first common mask alone, so no distinct pass
+    over the pairs is needed. Equal hashes are one row from the start.
     """
-    each = banded(hashes.select("hash").distinct(), distance)
-    left = each.withColumnRenamed("hash", "x")
-    right = each.withColumnRenamed("hash", "y")
-    pairs = left.join(right, ["band", "value"]).where("x < y")
-    pairs = pairs.withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= distance)
-    at, firsts = 0, []
-    for i, width in enumerate(band_widths(distance)):
-        mask = (1 << width) - 1 if width < 64 else -1
-        same = F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), at).bitwiseAND(F.lit(mask)) == 0
-        firsts.append(F.when(same, i))
-        at += width
-    return pairs.where(F.col("band") == F.coalesce(*firsts)).select("x", "y", "distance")
+    each = banded(hashes.select("hash").distinct(), distance, spare)
+    pairs = each.withColumnRenamed("hash", "x").join(each.withColumnRenamed("hash", "y"), ["band", "value"]).where("x < y")
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    pairs = pairs.withColumn("distance", F.bit_count(differ)).where(F.col("distance") <= distance)
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(agreement_masks(distance, spare))])
+    return pairs.where(F.col("band") == first).select("x", "y", "distance")
 
 
 def hamming_self_join(records: DataFrame, distance: int, key: str = "record_id") -> DataFrame:
