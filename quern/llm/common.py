@@ -6,49 +6,16 @@ Intermediate tables go to the folder that every executor shares
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table (a few longs a row) may be broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-_local_base: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a local master that names none."""
-    global _local_base
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _local_base is None:
-        _local_base = tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
-    return f"file://{_local_base}"
+from quern.operators import graph
+from quern.sources.shared import drop_table, shared_folder, stage_table
 
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "components", "drop_table", "labelled_fold", "read_table", "shared_folder", "small", "stage_table"]
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later stages start from the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, table: DataFrame) -> None:
-    """Delete the files of a table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+#: Rows up to which a narrow table (a few longs a row) may be broadcast; beyond it, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,39 +36,6 @@ def labelled_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph, as (v, label): label is the least vertex reachable.
-
-    ``edges`` has columns (a, b) of one orderable type. Each round every vertex
-    takes its least neighbour (a partial aggregate, so a hub costs one row a
-    task), pointers are followed once more, and edges are rewritten between
-    the pointers; finished parts leave the edge table. Vertices without an
-    edge are absent from the result.
-    """
-    spark = edges.sparkSession
-    edges = stage_table(edges.where(~(F.col("a") == F.col("b"))).distinct(), "edges")
-    labels = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage_table(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("m")), "least")
-        onward = least.select(F.col("v").alias("m"), F.col("m").alias("n"))
-        step = stage_table(least.join(onward, "m").select("v", F.col("n").alias("m")), "step")
-        ahead = edges.join(step.select(F.col("v").alias("a"), F.col("m").alias("p")), "a")
-        ahead = ahead.join(step.select(F.col("v").alias("b"), F.col("m").alias("q")), "b")
-        ahead = ahead.where(F.col("p") != F.col("q")).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
-        rest = stage_table(ahead.distinct(), "edges")
-        drop_table(spark, edges)
-        drop_table(spark, least)
-        edges = rest
-        if labels is None:
-            labels = step.select("v", F.col("m").alias("label"))
-        else:
-            moved = step.select(F.col("v").alias("label"), F.col("m").alias("to"))
-            labels = labels.join(moved, "label", "left").select("v", F.coalesce("to", "label").alias("label"))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if labels is None:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    return labels
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of (a, b) edges, as (v, label): label is the least vertex reachable; vertices without an edge are absent."""
+    return graph.components(edges).withColumnRenamed("component", "label")
