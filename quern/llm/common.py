@@ -17,6 +17,7 @@ __all__ = ["BROADCAST_ROWS", "ascii_lower", "components", "drop_table", "labelle
 #: Rows up to which a narrow table (a few longs a row) may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
