@@ -307,12 +307,16 @@ def field_spans(text: str, field: Field, base: list[tuple[int, int, str]]) -> li
 
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[str]:
-    """At most ``rows`` texts with base matches and ``rows`` with digits and none, in hash order; each is cut to its windows' surroundings by training."""
-    kinds = docs.select("text", F.col("text").rlike(BASE_RLIKE).alias("base"), F.col("text").rlike("[0-9]").alias("digits")).where("base or digits")
-    kinds = kinds.withColumn("h", F.xxhash64("text"))
-    # the hash comes first: only rows that can be among the least travel
-    picked = [kinds.where(c).select("h", "text").orderBy("h", "text").limit(rows) for c in ("base", "not base")]
-    return [r["text"] for r in picked[0].unionAll(picked[1]).collect()]
+    """At most ``rows`` texts with base matches and ``rows`` with digits and none, least hashes first.
+
+    Hashes alone are ranked; then the chosen few texts are fetched by them.
+    """
+    kinds = docs.select(F.xxhash64("text").alias("h"), F.col("text").rlike(BASE_RLIKE).alias("base"), F.col("text").rlike("[0-9]").alias("digits"))
+    picked = [kinds.where(c).select("h").orderBy("h").limit(rows) for c in ("base", "digits and not base")]
+    chosen = picked[0].unionAll(picked[1]).distinct()
+    # at most 2 * rows hashes are broadcast
+    found = docs.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "h")
+    return [r["text"] for r in found.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()]
 
 
 def scan(docs: DataFrame, field: Field | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
