@@ -178,6 +178,27 @@ def test_wide_bands_and_edges(spark, edge, empty):
     assert lines.dedup_lines(empty).count() == 0 and lines.keep_lines(empty).columns == empty.columns
 
 
+def gram_set(line):
+    norm = re.sub(r"\s+", " ", line.lower()).strip()
+    return {norm[i : i + 5] for i in range(max(1, len(norm) - 4))}
+
+
+def test_one_character_edits(spark):
+    """Lines of 6 to 20 words and the same with one character changed: all that are alike on shingles of every position."""
+    rng = np.random.default_rng(11)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(3, 9))) for _ in range(3000)]
+    firsts, seconds = [], []
+    for i in range(300):
+        line = " ".join(rng.choice(vocab, 6 + i % 15))
+        at = int(rng.integers(len(line)))
+        firsts.append(line)
+        seconds.append(line[:at] + "z" + line[at + 1 :])
+    alike = {300 + i for i, (a, b) in enumerate(zip(firsts, seconds)) if len(gram_set(a) & gram_set(b)) >= 0.8 * len(gram_set(a) | gram_set(b))}
+    assert len(alike) > 200
+    out = lines.dedup_lines(docs_of(spark, firsts + seconds))
+    assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == alike
+
+
 # Packing
 
 
