@@ -199,6 +199,20 @@ def test_one_character_edits(spark):
     assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == alike
 
 
+def test_families_in_one_wide_band(spark):
+    """Families of two lines that share a long template meet in wide bands alone, and still find each other."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), 7))
+    template, firsts, seconds = " ".join(word() for _ in range(30)), [], []
+    for _ in range(150):
+        own = " ".join(word() for _ in range(15))
+        firsts.append(f"{template} {own}")
+        seconds.append(f"{template} {own[:50]}z{own[51:]}")
+    assert len(gram_set(firsts[0]) & gram_set(firsts[1])) < 0.8 * len(gram_set(firsts[0]) | gram_set(firsts[1]))
+    out = lines.dedup_lines(docs_of(spark, firsts + seconds))
+    assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == set(range(150, 300))
+
+
 # Packing
 
 
