@@ -66,10 +66,13 @@ def bound(length: int) -> int:
 
 
 class Lexicon:
-    """Trie of terms and stems; ``common`` are clean words that are never read as misspellings."""
+    """Trie of terms and stems; ``common`` are clean words that are never read as misspellings.
 
-    def __init__(self, terms: list[str], stems: list[str], common: frozenset[str] = frozenset()):
-        self.root, self.common = Node(), common
+    With ``any_start`` a misspelling may also begin with another letter than its term.
+    """
+
+    def __init__(self, terms: list[str], stems: list[str], common: frozenset[str] = frozenset(), any_start: bool = False):
+        self.root, self.common, self.any_start = Node(), common, any_start
         for word, what in [*((t, "term") for t in terms), *((s, "stem") for s in stems)]:
             node = self.root
             for c in word:
@@ -98,7 +101,7 @@ class Lexicon:
         else:
             if node.term and word:
                 return 0
-        if len(word) < 4 or word in self.common or word[0] not in self.root.next:
+        if len(word) < 4 or word in self.common or not (self.any_start or word[0] in self.root.next):
             return None
         if (
             any(word[:n] in own for n, own in self.heads.items())
@@ -109,9 +112,9 @@ class Lexicon:
         return None
 
     def _within(self, word: str) -> int | None:
-        """Runs the word's Levenshtein automaton over the trie, first letters alike."""
+        """Runs the word's Levenshtein automaton over the trie, first letters alike unless ``any_start``."""
         size, best = len(word), None
-        stack = [(self.root.next[word[0]], 1, [1, *range(size)])]
+        stack = [(self.root, 0, list(range(size + 1)))] if self.any_start else [(self.root.next[word[0]], 1, [1, *range(size)])]
         while stack:
             node, depth, row = stack.pop()
             if node.term and row[size] <= bound(depth) and (best is None or row[size] < best):
@@ -204,7 +207,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
     # a stem that only one learned term bears adds nothing to the term
     grown = [s for s in stems if sum(1 for g in found if g.endswith("$") and g.startswith(s)) != 1]
     common = frozenset(w for w, n in plain.items() if n >= 2)
-    return Lexicon(terms, grown, common)
+    return Lexicon(terms, grown, common, any_start=True)
 
 
 #: Prior weights: intercept, exact, misspelled, distinct, density, quoted, reported, addressed.
@@ -245,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     got = sorted(((r["text"] or "", r["toxic"], zlib.crc32(str(r["doc_id"]).encode())) for r in got), key=lambda r: (r[2], r[0]))
     toxic, clean = [t for t, y, _ in got if y == 1], [t for t, y, _ in got if y == 0]
     if not toxic or not clean:
-        return Model(Lexicon(list(SEED_TERMS), []), PRIOR_WEIGHTS.copy())
+        return Model(Lexicon(list(SEED_TERMS), [], any_start=True), PRIOR_WEIGHTS.copy())
     lexicon = learn_lexicon(toxic, clean)
     reader = Reader(lexicon)
     x = np.array([reader.features(t) for t in toxic + clean])

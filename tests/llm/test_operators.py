@@ -303,6 +303,25 @@ def test_automaton_equals_distances():
     assert toxicity.core('"Id10t!!') == "idiot" and toxicity.core("###") == ""
 
 
+def test_misspelled_first_letters():
+    """Terms misspelled in, before or without their first letter are within their edits as well."""
+    terms = ["idiot", "moron", "stupid", "pathetic", "worthless", "disgusting"]
+    lexicon = toxicity.Lexicon(terms, [], any_start=True)
+    rng = np.random.default_rng(8)
+    words = ["xdiot", "xstupid", "oron", "tupid", "lathetic", "dworthless"]
+    for t in terms:
+        for _ in range(80):
+            w = list(t)
+            for at in (0, int(rng.integers(len(w))))[: rng.integers(1, 3)]:
+                w[at : at + int(rng.integers(0, 2))] = list(rng.choice(list("abidostw"), rng.integers(0, 2)))
+            words.append("".join(w))
+    for w in words:
+        near = [d for t in terms if (d := distance(w, t)) <= toxicity.bound(len(t))]
+        assert lexicon.match(w) == (min(near) if near else None), w
+    assert all(lexicon.match(w) == 1 for w in words[:6])
+    assert toxicity.learn_lexicon(["you idiot"], ["good day"]).match("xdiot") == 1
+
+
 def test_toxicity_learns_and_holds_out(spark, edge, empty):
     rng = np.random.default_rng(4)
     plain = ["walk", "paper", *(f"{a}{b}{c}" for a in ("ho", "ri", "gre", "ta") for b in ("va", "le", "mo", "su") for c in ("ne", "ck", "rt", "ps", "ly"))]
