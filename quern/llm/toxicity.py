@@ -180,10 +180,9 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
     def grams(ws: set[str]) -> set[str]:
         return {w[:n] for w in ws for n in STEM if len(w) >= n} | {f"{w}$" for w in ws}
 
-    def apart(texts: list[str]) -> list[set[str]]:
-        """Word sets, one for all texts alike: copies must not make a word look frequent."""
-        own = {min((zlib.crc32(w.encode()) for w in ws), default=0): ws for t in texts if (ws := words(t))}
-        return list(own.values())
+    def apart(texts: list[str]) -> list[frozenset[str]]:
+        """Word sets, one for all texts of the same words: copies must not make a word look frequent."""
+        return list(dict.fromkeys(frozenset(ws) for t in texts if (ws := words(t))))
 
     toxic, clean = apart(toxic), apart(clean)
     seen: Counter[str] = Counter()

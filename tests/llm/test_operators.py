@@ -322,6 +322,17 @@ def test_misspelled_first_letters():
     assert toxicity.learn_lexicon(["you idiot"], ["good day"]).match("xdiot") == 1
 
 
+def test_texts_that_share_a_word_are_no_copies():
+    """Different texts with one word in common all count towards the lexicon; copies count once."""
+    rng = np.random.default_rng(9)
+    vocab = sorted(("".join(rng.choice(list("aeioulnrst"), 7)) for _ in range(400)), key=lambda w: zlib.crc32(w.encode()))
+    plain = [" ".join([vocab[0], *rng.choice(vocab[1:], 20)]) for _ in range(80)]
+    toxic = [t + " grobnik" for t in plain[:40]] + [plain[0] + " vulpexo"] * 30
+    lexicon = toxicity.learn_lexicon(toxic, plain[40:])
+    assert lexicon.match("grobnik") == 0
+    assert lexicon.match("vulpexo") is None
+
+
 def test_toxicity_learns_and_holds_out(spark, edge, empty):
     rng = np.random.default_rng(4)
     plain = ["walk", "paper", *(f"{a}{b}{c}" for a in ("ho", "ri", "gre", "ta") for b in ("va", "le", "mo", "su") for c in ("ne", "ck", "rt", "ps", "ly"))]
