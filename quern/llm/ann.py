@@ -191,9 +191,9 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
     rows = rows.where(F.size("v") == dim)
     # of equal vectors the smallest ids are enough: a query leaves out one at most
     alike = Window.partitionBy("k1", "k2").orderBy("id")
-    first = rows.select("k1", "k2", "id", "v").withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= nearest + 1)
+    first = rows.select("k1", "k2", "id", "v").dropDuplicates(["k1", "k2", "id"]).withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= nearest + 1)
     first = stage_table(first, "copies")
-    copies = first.select("k1", "k2", "id", "nth").dropDuplicates(["k1", "k2", "id"])
+    copies = first.select("k1", "k2", "id")
     entries = stage_table(first.where("nth = 1").select("k1", "k2", "v"), "entries")
     asked = stage_table(rows.where("q").select("id", "k1", "k2").distinct(), "asked")
 
@@ -271,7 +271,7 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
     scored = scored.join(small(questions.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("v").alias("a")), 20_000), ["q1", "q2"])
     scored = stage_table(scored.select("q1", "q2", "k1", "k2", exact.alias("score")), "scored")
     by_score = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "id")
-    found = scored.join(copies.select("k1", "k2", "id"), ["k1", "k2"]).withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= nearest + 1)
+    found = scored.join(copies, ["k1", "k2"]).withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= nearest + 1)
     found = found.select(F.col("q1").alias("k1"), F.col("q2").alias("k2"), F.col("id").alias("vec_id"), "score")
     answers = asked.withColumnRenamed("id", "query_id").join(found, ["k1", "k2"]).where("query_id != vec_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

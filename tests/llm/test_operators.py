@@ -550,3 +550,11 @@ def test_search_small(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(rows, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2), (0, 2, 1)]
     assert ann.search(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_rows_count_once(spark):
+    """Doubled rows of equal vectors, and one id repeated very often, leave room for all ties."""
+    copies = [(i, [1.0, 0.5]) for i in range(30)]
+    rows = spark.createDataFrame(copies * 2 + copies[:1] * 25 + [(100 + i, [0.5, 0.01 * i]) for i in range(30)], "vec_id long, embedding array<float>")
+    got = ann.search(rows, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 21))
