@@ -10,13 +10,14 @@ in salted parts, so one very common length is no single task.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,18 @@ from quern.llm.common import small, stage_table
 
 SEQUENCE = 2048
 END_ID = 0
-#: Distinct chunks, and words, whose ids a worker remembers; it starts anew when they are more.
-REMEMBERED = 500_000
+#: Bytes of text that are tokenized at a time; a longer text is taken by itself.
+BLOCK_BYTES = 16 << 20
+#: Chunks that are encoded as one text.
+CHUNKS_A_TEXT = 1000
+#: ASCII marks that a word never forms a token with; the apostrophe does.
+MARKS = r"!-&(-/:-@\[-`{-~"
+#: Letters whose tokens do not depend on what follows them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+WORD_AND_MARKS = f"(?s)^(?P<word>.*[0-9{LETTERS}])(?P<marks>[{MARKS}]+)$"
+ONE_PIECE = f"^(?:[{LETTERS}]+|[{MARKS}]+)$"
+#: Texts that a tokenizer must read chunk by chunk as it does whole, or whole texts are encoded.
+PROBES = ("One two,  three's (4)\n\tFIVE", "a b", " a\r\nB!")
 
 
 def default_tokenizer() -> str:
@@ -34,48 +45,93 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-#: A word of letters alone and ASCII marks after it, none of them an apostrophe: the tokenizer always parts the two.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+def _strung(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``at``, one after the other, and how many each has; entry i has ``sizes[i]`` ids of ``flat``."""
+    own = sizes[at]
+    ends = np.cumsum(own)
+    begins = (np.cumsum(sizes) - sizes)[at]
+    return flat[np.repeat(begins - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)], own
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian 32-bit bytes, remembered chunk by chunk and word by word.
+    """Ids of many texts at once, through the distinct chunks between their ASCII white space.
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its chunks between spaces and line feeds. It
-    lower-cases letters and parts a word from the marks after it, so most new
-    chunks are made of a known word and known marks.
+    text's ids are those of its chunks. ASCII chunks are lower-cased, as the
+    tokenizer does, and marks after a word are parted from it, as the tokenizer
+    does too; each distinct part of a block is encoded once. Parts of one
+    pre-token travel through the tokenizer many to a text, and the ids that end
+    a word part them again; others are parted by a special token, which cuts a
+    text before anything else is done to it; those that may hold such a token
+    are encoded alone. Tokenizers of other kinds get whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        if chunk.isalpha():
-            return (chunk.lower() if chunk.isascii() else chunk,)
-        m = WORD_AND_MARKS.fullmatch(chunk)
-        return (m[1].lower() if m[1].isascii() else m[1], m[2]) if m else (chunk,)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        known, words = self.known, self.words
-        new = {c: self._parts(c) for c in set().union(*parts).difference(known)}
-        missing = list({w for own in new.values() for w in own}.difference(words))
-        for at in range(0, len(missing), 5_000):
-            block = missing[at : at + 5_000]
-            for word, enc in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                words[word] = np.array(enc.ids, "<u4").tobytes()
-        for chunk, own in new.items():
-            known[chunk] = b"".join(map(words.__getitem__, own))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [pc.ascii_lower(t.content).as_py() for t in added.values()]
+        special = {i: t.content for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.part_id = max(special, default=-1)
+        self.part = special.get(self.part_id)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.by_chunk = bool(suffix) and self.part is not None and all(self._whole([t])[0].tolist() == [i for c in t.split() for i in self._whole([c])[0].tolist()] for t in PROBES)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def _joined(self, parts: list[str], by: str) -> np.ndarray:
+        texts = [by.join([*parts[at : at + CHUNKS_A_TEXT], ""]) for at in range(0, len(parts), CHUNKS_A_TEXT)]
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+
+    def _parts(self, parts: pa.StringArray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All parts' ids after each other, and how many each has. ``odd`` ones may hold an added token."""
+        one = pc.match_substring_regex(parts, ONE_PIECE).to_numpy(zero_copy_only=False) & ~odd
+        groups = [np.nonzero(g)[0] for g in (one, ~one & ~odd, odd)]
+        words, others, alone = (parts.take(pa.array(g)).to_pylist() for g in groups)
+        of_words = self._joined(words, " ")
+        word_ends = np.nonzero(self.ends[of_words])[0]
+        of_others = self._joined(others, self.part)
+        cuts = np.nonzero(of_others == self.part_id)[0]
+        of_alone, sizes_alone = self._whole(alone)
+        sizes = np.concatenate([np.diff(word_ends, prepend=-1), np.diff(cuts, prepend=-1) - 1, sizes_alone])
+        back = np.empty(len(parts), np.int64)
+        back[np.concatenate(groups)] = np.arange(len(parts))
+        return _strung(np.concatenate([of_words, np.delete(of_others, cuts), of_alone]), sizes, back)
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        odd, lower = np.zeros(len(chunks), bool), pc.ascii_lower(chunks)
+        for mark in self.marks:
+            odd |= pc.match_substring(lower, mark).to_numpy(zero_copy_only=False)
+        plain = pa.array(~odd)
+        chunks = pc.if_else(pc.and_(plain, pc.string_is_ascii(chunks)), lower, chunks)
+        cut = pc.extract_regex(chunks, WORD_AND_MARKS)
+        parted = pc.and_(plain, pc.is_valid(cut))
+        words = pc.if_else(parted, pc.struct_field(cut, "word"), chunks)
+        marks = pc.if_else(parted, pc.struct_field(cut, "marks"), "")
+        parts = pa.concat_arrays([words, marks]).dictionary_encode()
+        at = parts.indices.to_numpy()
+        odd_parts = np.zeros(len(parts.dictionary), bool)
+        odd_parts[at[: len(chunks)][odd]] = True
+        flat, own = _strung(*self._parts(parts.dictionary, odd_parts), at.reshape(2, -1).T.ravel())
+        return flat, own.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids after each other, and where each text's end; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            ids, sizes = self._whole(texts.to_pylist())
+            return ids.astype("<u4", copy=False), np.cumsum(sizes)
+        parts = pc.ascii_split_whitespace(texts)
+        chunks = parts.flatten().dictionary_encode()
+        ids, own = _strung(*self._chunks(chunks.dictionary), chunks.indices.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(own)))
+        return ids.astype("<u4", copy=False), ends[np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
 
 
 #: One encoder for each tokenizer file, kept by a worker from task to task.
@@ -88,31 +144,50 @@ def encoder_for(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with BLOCK_BYTES of text at most, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the closing ``end_id``.
 
     Null and empty texts are one piece, the closing id alone. Only documents
-    longer than ``sequence`` are cut.
+    longer than ``sequence`` are cut. doc_id is of any type and never leaves
+    Arrow, so nulls and large numbers stay what they are.
     """
     path = tokenizer or default_tokenizer()
     id_type = dict(docs.dtypes)["doc_id"]
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         end = np.array([end_id], "<u4").tobytes()
-        for pdf in frames:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                rows = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]])):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * sequence)):
-                        own = ids[start : start + 4 * sequence]
-                        rows.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"}) if id_type == "bigint" else out
-
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+        for batch in batches:
+            for block in _blocks(batch):
+                ids, bounds = encoder.encode(block.column("text"))
+                octets = memoryview(np.ascontiguousarray(ids)).cast("B")
+                counts = np.diff(bounds, prepend=0) + 1
+                many = -(-counts // sequence)
+                row = np.repeat(np.arange(len(counts)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * sequence
+                length = np.minimum(sequence, counts[row] - start)
+                first = (bounds - (counts - 1))[row] + start
+                last = piece == many[row] - 1
+                crc = [
+                    zlib.crc32(end, zlib.crc32(octets[4 * a : 4 * (a + n - 1)])) if e else zlib.crc32(octets[4 * a : 4 * (a + n)])
+                    for a, n, e in zip(first.tolist(), length.tolist(), last.tolist())
+                ]
+                out = [block.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:

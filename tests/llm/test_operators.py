@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -237,6 +239,39 @@ def test_packing_round_trip(spark, edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_chunks_encode_as_whole_texts():
+    """All of Unicode's letters and marks, added tokens and white space: ids of many texts at once are those of each text."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [*"aAsStTbBhHQo'’.,!?09 \n\t\r\x0b\x0c\x00\x1c\x1f\x85\xa0", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "İ", "İ.", "xİ-", "ß", "Σ", "ς", "ﬁ", "\u0301", "\u0307", "\u0331", "Ǆ", "가", "ᄀ", "ᅡ", "中", "\u200d", "'s", "'ll", "</w>"]
+    texts = ["Qoİ.", "İ.", "xİ-", "H\u0331h\u0331, H\u0331", None, ""]
+    texts += ["".join(rng.choice(odd, rng.integers(0, 25))) for _ in range(4000)]
+    texts += ["".join(rng.choice(every[: 0x3100 if i % 2 else None], 12)) for i in range(4000)]
+    texts += [f"a{c}b{c}. {c}" for c in every if unicodedata.category(c) in ("Lu", "Lt", "Mn") or unicodedata.decomposition(c)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = str(public_tokenizers.path(name))
+        tok, encoder = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+        assert encoder.by_chunk == (name == "word_bpe_49k.json")
+        ids, ends = encoder.encode(pa.array(texts))
+        want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_packing_keeps_ids(spark):
+    """Null ids, very large ones and ids of other types in one batch come back as they are."""
+    big = [1152921504606846977, None, -(1 << 63), (1 << 63) - 1, 3, 3]
+    got = packing.pack(spark.createDataFrame([(i, f"word {i}", "x") for i in big], "doc_id long, text string, piece string")).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(big, key=str)
+    assert got[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    named = packing.pack(spark.createDataFrame([("a", "one"), (None, None)], "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.length) for r in named} == {("a", 2), (None, 1)}
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for n in sorted(lengths, reverse=True):
@@ -498,20 +533,74 @@ def test_page_structure():
     assert html.page_text(None) == html.page_text("") == ""
     assert html.page_text("<article><header><h1>A</h1></header>b<article class='comment'>no</article></article>") == "A b"
     assert html.page_text("<p>a < b & c</p><!-- <p>x</p> --> d") == "a < b & c d"
-    assert html.host_of("HTTPS://u@A.Example.org:80/x") == "a.example.org"
+    assert html.page_text('<article><p>a</p><div class="side-effects">b <math><mi>x</mi><mo>=</mo><mn>2</mn></math></div><p class="search-results-note">c</p><div class="newsletter-signup">d</div><div class="entry-header">e</div></article>') == "a b x=2 c e"
+    assert html.page_text("<article><p>a<b>b<i>c</b>d</p><ul><li>e<li>f<td>g</ul>h</article>i") == "abcd e f g h"
+
+
+@pytest.mark.parametrize("shape", ["<div>{n}</x>{n}", "<p><td>{n}<x>{n}<p>{n}", "<b><x>{n}</b>{n}", '<a "> "{n}" ', '<a b="{n}', "<!--{n}", "<li>{n}</li>{n}", "<script>{n}", "&amp{n}", '<div class="a b c">{n}text'])
+def test_long_odd_pages_take_linear_time(shape):
+    """A megabyte of nested, unclosed or unmatched markup."""
+    parts = re.split(r"\{n\}", shape)
+    times = 1_000_000 // max(1, len(shape.replace("{n}", "")))
+    text = "".join(p * times for p in parts[:-1]) + parts[-1]
+    began = time.process_time()
+    html.page_text("<article>kept</article>" + text)
+    assert time.process_time() - began < 12
+    small = html.page_text("<article>kept</article>" + "".join(p * 3 for p in parts[:-1]) + parts[-1])
+    assert small.startswith("kept")
+
+
+BAR = "home news sport weather shop about contact help"
 
 
 def test_repeats_across_a_host_are_boilerplate(spark):
-    bar = "home news sport weather shop about contact help"
-    rows = [Row(page_id=i, url=f"http://h.example/{i}", html=f"<div>{bar}</div><div>own story number {i} tells what only page {i} knows</div>", other=1) for i in range(5)]
-    rows += [Row(page_id=10 + i, url=f"http://copy.example/{i}", html="<div>the same story copied word for word on every page here</div>", other=1) for i in range(4)]
-    rows += [Row(page_id=20, url=None, html=None, other=1), Row(page_id=21, url="http://h.example/0", html="", other=1), Row(page_id=22, url="x", html="<nav>" + "a b " * 5000 + "</nav>", other=1)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, other int")
-    got = {r.page_id: r for r in html.extract(pages).collect()}
+    rows = [Row(page_id=i, url=f"http://h.example/{i}", html=f"<div>{BAR}</div><div>own story number {i} tells what only page {i} knows</div>", other=1, k1=1, page="p") for i in range(5)]
+    rows += [Row(page_id=10 + i, url=f"http://copy.example/{i}", html="<div>the same story copied word for word on every page here</div>", other=1, k1=1, page="p") for i in range(4)]
+    rows += [Row(page_id=20, url=None, html=None, other=1, k1=1, page="p"), Row(page_id=21, url="http://h.example/0", html="", other=1, k1=1, page="p"), Row(page_id=22, url="x", html="<nav>" + "a b " * 5000 + "</nav>", other=1, k1=1, page="p")]
+    # pages that structure settles stand in the same batch as open ones
+    rows += [Row(page_id=30 + i, url=f"http://H.example:80/a{i}", html=f"<div>{BAR}</div><article>article {i} <p>and more</p></article>", other=1, k1=1, page="p") for i in range(5)]
+    # an article's block that is faintly hinted at goes if repeats cover it
+    rows += [Row(page_id=40 + i, url=f"//h.example/b{i}", html=f'<article>text {i}<div class="search-results-note">{BAR if i else "what this page alone has to say about results of a search"}</div></article>', other=1, k1=1, page="p") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, other int, k1 int, page string").coalesce(1)
+    out = html.extract(pages)
+    assert out.columns == ["page_id", "url", "other", "k1", "page", "text", "n_chars"]
+    got = {r.page_id: r for r in out.collect()}
+    assert len(got) == len(rows) and all(r.k1 == 1 and r.page == "p" and r.n_chars == len(r.text) for r in got.values())
     assert all(got[i].text == f"own story number {i} tells what only page {i} knows" for i in range(5))
     assert all(got[10 + i].text == "the same story copied word for word on every page here" for i in range(4))
-    assert all(got[i].text == "" and got[i].n_chars == 0 for i in (20, 21, 22))
+    assert all(got[i].text == "" for i in (20, 21, 22))
+    assert all(got[30 + i].text == f"article {i} and more" for i in range(5))
+    assert got[40].text == "text 0 what this page alone has to say about results of a search" and all(got[40 + i].text == f"text {i}" for i in range(1, 4))
     assert html.extract(pages.limit(0)).count() == 0
+    assert html.extract(pages.select("page_id", "html")).count() == len(rows)
+
+
+def test_array_covers_what_all_repeated_substrings_cover(spark):
+    """Against all substrings of all pages, each with the set of pages that hold it."""
+    rng = np.random.default_rng(13)
+    pieces = [" ".join(rng.choice(list("abcdefgh"), rng.integers(4, 14))) for _ in range(8)]
+    streams = {}
+    for host in range(3):
+        for i in range(6):
+            words = []
+            for _ in range(5):
+                words += pieces[rng.integers(len(pieces))].split() if rng.random() < 0.6 else [f"u{rng.integers(1000)}" for _ in range(rng.integers(1, 9))]
+            streams[(host, i)] = words
+    streams[(0, 6)] = streams[(0, 0)]  # a copy counts as one page
+    rows = [Row(page_id=10 * h + i, url=f"http://h{h}.example/{i}", html=f"<div>{' '.join(w)}</div>") for (h, i), w in streams.items()]
+    parsed = html.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    keys = {(r.k1, r.k2): r.row.page_id for r in parsed.collect()}
+    got = {keys[r.k1, r.k2]: {p + k for p in r.places for k in range(html.DEPTH)} for r in html.covered(parsed).collect()}
+    holders = defaultdict(set)
+    for (host, _), w in streams.items():
+        for a in range(len(w)):
+            for b in range(a + html.DEPTH, len(w) + 1):
+                holders[host, tuple(w[a:b])].add(tuple(w))
+    for (host, i), w in streams.items():
+        want = {k for a in range(len(w)) for b in range(a + html.DEPTH, len(w) + 1) if len(holders[host, tuple(w[a:b])]) >= html.PAGES for k in range(a, b)}
+        assert got.get(10 * host + i, set()) == want
+        tokens = html.unique_runs(w, np.array([k in want for k in range(len(w))]))
+        assert html.page_text(rows[list(streams).index((host, i))].html, sorted(p for p in want if all(p + k in want for k in range(html.DEPTH)) and len(holders[host, tuple(w[p : p + html.DEPTH])]) >= html.PAGES)) == (" ".join(tokens) or " ".join(w))
 
 
 # Vector search
