@@ -70,6 +70,15 @@ def replay_plateau(history: DataFrame, key: str, order: str, value: str, rate: f
     return folded.select(key, F.size("h").alias("steps"), "s.best", "s.wait", "s.cooldown", "s.rate")
 
 
+def rate_faults(history: DataFrame, key: str, order: str, value: str, stored: str, rate: float = 1e-3, factor: float = 0.5, patience: int = 2, cooldown: int = 1, least: float = 1e-6) -> DataFrame:
+    """Per key, the first step whose stored rate is not the one that the plateau rule had reached before it; keys without one are absent."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x"), F.col(stored).alias("r"))))
+    due = F.transform("h", lambda e, i: F.struct(e["o"].alias("o"), e["r"].alias("r"), plateau_state(F.transform(F.slice("h", F.lit(1), i), lambda p: p["x"]), rate, factor, patience, cooldown, least)["rate"].alias("due")))
+    wrong = F.filter(due, lambda e: F.abs(e["r"] - e["due"]) > F.greatest(F.lit(1e-10), F.lit(1e-5) * F.greatest(F.abs(e["r"]), F.abs(e["due"]))))
+    rows = history.groupBy(key).agg(ordered.alias("h")).select(key, F.get(wrong, 0).alias("w")).where("w is not null")
+    return rows.select(key, F.col("w.o").alias("step"), F.col("w.r").alias("stored"), F.col("w.due").alias("due"))
+
+
 def chained_phases(first: DataFrame, second: DataFrame) -> DataFrame:
     """Second-phase epochs go on where the first phase ended."""
     last = first.agg(F.coalesce(F.max("epoch"), F.lit(0)).alias("_last"))

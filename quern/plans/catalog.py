@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import keys, text
-from quern.operators import activity, dedup, graph, metrics, policy, replay, similarity, split, weights
+from quern.operators import activity, composition, dedup, graph, metrics, policy, replay, similarity, split, weights
 from quern.plans import checks
 from quern.plans import tables as T
 from quern.sources.shared import stage_table
@@ -345,24 +345,32 @@ def _anchored(spark, sf):
     return pairs, stage_table(graph.anchor_groups(pairs.select(F.col("first").alias("a"), F.col("second").alias("b"))), "anchored")
 
 
-@query("anchor_groups")
+@query("anchor_groups", _with(T.ANCHORED) + "SELECT v, representative, 'refined_' || substr(sha256(representative), 1, 20) AS refined_group_id FROM members")
 def anchor_groups(spark, sf):
     return _anchored(spark, sf)[1].withColumn("refined_group_id", keys.stable_id("refined_", 20, "representative"))
 
 
-@query("group_risk")
+@query("group_risk", _with(T.ANCHORED) + "SELECT representative, members, risk FROM risk")
 def group_risk(spark, sf):
     _, members = _anchored(spark, sf)
     rows = T.records(spark, sf).select(F.col("record_id").alias("v"), "role", "target_class")
     return policy.group_risk(members.join(rows, "v"))
 
 
-@query("contracted_pairs")
+@query("contracted_pairs", _with(T.ANCHORED, """ends AS (SELECT coalesce(x.representative, p.first) AS x, coalesce(y.representative, p.second) AS y, distance FROM pairs p LEFT JOIN members x ON x.v = p.first LEFT JOIN members y ON y.v = p.second)""")
+    + "SELECT least(x, y) AS entity_a, greatest(x, y) AS entity_b, count(*) AS n_pairs, min(distance) AS min_distance FROM ends WHERE x <> y GROUP BY ALL")
 def contracted_pairs(spark, sf):
     return policy.contract(*_anchored(spark, sf))
 
 
-@query("resolved_records")
+RESOLVED = T.ANCHORED + POLICY.removeprefix(T.RECORDS) + """, judged AS (
+  SELECT cleaned.*, CASE WHEN role = 'locked_test' THEN 'LOCKED_BENCHMARK' WHEN cleaning_status = 'EXCLUDE' THEN 'ALREADY_EXCLUDED' WHEN risk = 'VERIFIED_BENCHMARK_LEAKAGE' THEN 'VERIFIED_PERCEPTUAL_LEAKAGE'
+    WHEN risk = 'VERIFIED_LABEL_CONFLICT' THEN 'VERIFIED_PERCEPTUAL_LABEL_CONFLICT' WHEN record_id IN (SELECT first FROM pairs WHERE category = 'DIFFERENT_TARGET') THEN 'STILL_UNCERTAIN' ELSE 'INCLUDE' END AS resolution
+  FROM cleaned LEFT JOIN members ON members.v = record_id LEFT JOIN risk ON risk.representative = members.representative)"""
+
+
+@query("resolved_records", _with(RESOLVED) + """SELECT record_id, resolution, CASE WHEN resolution LIKE 'VERIFIED%' OR resolution = 'STILL_UNCERTAIN' THEN 'EXCLUDE' ELSE cleaning_status END AS cleaning_status,
+  CASE WHEN resolution LIKE 'VERIFIED%' THEN resolution WHEN resolution = 'STILL_UNCERTAIN' THEN 'UNRESOLVED_PERCEPTUAL_IDENTITY' ELSE exclusion_reason END AS exclusion_reason FROM judged""")
 def resolved_records(spark, sf):
     pairs, members = _anchored(spark, sf)
     rows = _cleaned(spark, sf).select("record_id", "role", "target_class", "cleaning_status", "exclusion_reason")
@@ -372,7 +380,7 @@ def resolved_records(spark, sf):
     return out.select("record_id", "resolution", "cleaning_status", "exclusion_reason")
 
 
-@query("anchor_edge_summary")
+@query("anchor_edge_summary", _with(T.ANCHORED) + "SELECT representative, count(*) AS edges, min(distance) AS nearest, max(distance) AS farthest FROM (SELECT first AS x, second AS y, distance FROM pairs UNION ALL SELECT second, first, distance FROM pairs) e JOIN members ON v = x AND representative = y GROUP BY representative")
 def anchor_edge_summary(spark, sf):
     pairs, members = _anchored(spark, sf)
     edges = pairs.select(F.col("first").alias("x"), F.col("second").alias("y"), "distance").unionAll(pairs.select(F.col("second").alias("x"), F.col("first").alias("y"), "distance"))
@@ -459,6 +467,11 @@ def largest_classes(spark, sf):
     return weights.class_counts(T.table(spark, sf, "documents"), "source").orderBy(F.desc("n"), "source").limit(5)
 
 
+@query("smallest_classes", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n, source LIMIT 5")
+def smallest_classes(spark, sf):
+    return weights.class_counts(T.table(spark, sf, "documents"), "source").orderBy("n", "source").limit(5)
+
+
 @query("preview_ids", _with(T.RECORDS) + "SELECT mapping_status, list_slice(list_sort(list(record_id)), 1, 20)::VARCHAR AS ids FROM records WHERE mapping_status <> 'MATCHED' GROUP BY mapping_status".replace("list_slice(list_sort(list(record_id)), 1, 20)::VARCHAR", "array_to_string(list_slice(list_sort(list(record_id)), 1, 20), ',')"))
 def preview_ids(spark, sf):
     from pyspark.sql import Window
@@ -622,6 +635,12 @@ def top_increases(spark, sf):
     return changes.orderBy(*metrics.ranked_changes(changes)).limit(15)
 
 
+@query("top_decreases", _with(CHANGES) + "SELECT * FROM ch WHERE direction = 'decreased' ORDER BY abs(delta_rate) DESC, abs(delta) DESC, t, p LIMIT 15")
+def top_decreases(spark, sf):
+    changes = metrics.confusion_changes(T.outputs(spark, sf)).where("direction = 'decreased'")
+    return changes.orderBy(*metrics.ranked_changes(changes)).limit(15)
+
+
 @query("major_confusions", _with(T.OUTPUTS) + "SELECT t, a AS p, count(*) AS n FROM outputs WHERE t <> a GROUP BY ALL ORDER BY n DESC, t, p LIMIT 15")
 def major_confusions(spark, sf):
     return metrics.major_confusions(_rows(spark, sf))
@@ -656,6 +675,86 @@ def best_candidate(spark, sf):
     return metrics.best_candidate(T.history(spark, sf), ["user_id"])
 
 
+# Composition, decisions and look-ups
+
+TAXONOMY = "taxonomy AS (SELECT target_class, row_number() OVER (ORDER BY target_class) - 1 AS target_index FROM (SELECT DISTINCT target_class FROM records WHERE target_class <> ''))"
+COMBINED = POLICY + ", " + TAXONOMY + """, inc AS (SELECT c.*, t.target_index::VARCHAR AS ti, CASE WHEN grouped THEN 'exact_' || substr(c.sha256, 1, 20) ELSE '' END AS eg,
+    'comp_' || substr(sha256(source_domain || chr(0) || dataset || chr(0) || record_id || chr(0) || t.target_index || chr(0) || c.sha256), 1, 24) AS comp FROM cleaned c JOIN taxonomy t USING (target_class) WHERE cleaning_status = 'INCLUDE')"""
+
+
+@query("combined_records", _with(COMBINED) + """SELECT comp AS composition_record_id, source_domain, dataset AS source_dataset, record_id AS source_record_id, ti AS target_index, eg AS exact_group_id,
+  CASE WHEN eg <> '' THEN 'split_group_' || substr(sha256(source_domain || chr(0) || 'exact' || chr(0) || eg), 1, 24) ELSE 'split_single_' || substr(sha256(source_domain || chr(0) || 'singleton' || chr(0) || comp), 1, 24) END AS split_group_id,
+  CASE source_domain WHEN 'REAL_WORLD' THEN 'AUDITED_REAL_WORLD_CLEAN' ELSE 'AUDITED_HISTORICAL_CLEAN' END AS provenance_status FROM inc""")
+def combined_records(spark, sf):
+    every = T.records(spark, sf)
+    taxonomy = every.where("target_class != ''").select("target_class").distinct().withColumn("target_index", F.row_number().over(Window.orderBy("target_class")) - 1)  # one row a class
+    groups = dedup.exact_groups(every).select("sha256", F.col("group_id").alias("exact_group_id"))
+    rows = _cleaned(spark, sf).where("cleaning_status = 'INCLUDE'").join(groups, "sha256", "left").withColumn("exact_group_id", F.coalesce("exact_group_id", F.lit(""))).withColumn("refined_group_id", F.lit(""))
+    rules = {"is matched": F.col("mapping_status") == "MATCHED", "is no test row": F.col("role") == "training_candidate", "is included": F.col("cleaning_status") == "INCLUDE"}
+    sides = [composition.combined_records(rows.where(F.col("source_domain") == d), d, taxonomy, rules, p) for d, p in ((composition.HISTORICAL, "AUDITED_HISTORICAL_CLEAN"), (composition.REAL_WORLD, "AUDITED_REAL_WORLD_CLEAN"))]
+    return sides[0].unionByName(sides[1]).select("composition_record_id", "source_domain", "source_dataset", "source_record_id", "target_index", "exact_group_id", "split_group_id", "provenance_status")
+
+
+#: Signals of a pair of records, made from their sizes: good matches, match ratio, inlier ratio.
+SIGNALS = "(a_width + b_width) % 50 AS good, (a_height % 20) / 40 AS ratio, (b_height % 10) / 10 AS inlier"
+
+
+def _signals(spark, sf):
+    near = _pairs(spark, sf)
+    size = lambda c: F.col(c).cast("double")
+    return near.select("*", ((F.col("a_width") + F.col("b_width")) % 50).alias("good"), (size("a_height") % 20 / 40).alias("ratio"), (size("b_height") % 10 / 10).alias("inlier"))
+
+
+VERIFIED = "good >= 40 AND ratio >= 0.15 AND inlier >= 0.6"
+POSSIBLE = "good >= 15 AND ratio >= 0.05 AND inlier >= 0.5"
+
+
+@query("benchmark_decisions", _with(T.PAIRS, f"s AS (SELECT *, {SIGNALS} FROM pairs WHERE category = 'TRAIN_TO_LOCKED_BENCHMARK')") + f"""SELECT CASE WHEN a_role = 'training_candidate' THEN first ELSE second END AS training_record_id, CASE WHEN a_role = 'training_candidate' THEN second ELSE first END AS locked_test_record_id, distance,
+  CASE WHEN {VERIFIED} THEN 'LIKELY_SAME_OBSERVATION' WHEN {POSSIBLE} THEN 'UNCERTAIN' ELSE 'CLEAR_FALSE_POSITIVE' END AS decision,
+  CASE WHEN {VERIFIED} THEN 'EXCLUDE_TRAINING_SIDE' WHEN {POSSIBLE} THEN 'REVIEW_TRAINING_SIDE' ELSE 'INCLUDE_TRAINING_SIDE' END AS action FROM s""")
+def benchmark_decisions(spark, sf):
+    return composition.benchmark_decisions(_signals(spark, sf).where("category = 'TRAIN_TO_LOCKED_BENCHMARK'"))
+
+
+@query("perceptual_policy", _with(T.PAIRS, f"""s AS (SELECT p.*, {SIGNALS}, a.target_class AS a_target, b.target_class AS b_target FROM pairs p JOIN records a ON a.record_id = first JOIN records b ON b.record_id = second
+), u AS (SELECT *, {VERIFIED} AS sure, a_role <> b_role AS bench FROM s WHERE ({VERIFIED}) OR ({POSSIBLE})
+), hits AS (SELECT record_id, CASE WHEN bench AND sure THEN 3 ELSE 2 END AS severity, CASE WHEN bench AND sure THEN 0 WHEN sure THEN 1 WHEN NOT bench THEN 2 ELSE 3 END AS seq
+  FROM (SELECT first AS record_id, a_role AS role, * FROM u UNION ALL SELECT second, b_role, * FROM u) WHERE role = 'training_candidate' AND (bench OR a_target <> b_target)
+), best AS (SELECT record_id, arg_max(seq, severity * 10 + seq) AS seq FROM hits GROUP BY record_id)""") + """SELECT record_id, CASE seq WHEN 0 THEN 'EXCLUDE_BENCHMARK_LEAKAGE' ELSE 'REVIEW_PERCEPTUAL_CONFLICT' END AS status,
+  CASE seq WHEN 0 THEN 'HISTORICAL_BENCHMARK_LEAKAGE_PERCEPTUAL' WHEN 1 THEN 'VERIFIED_CROSS_CLASS_PERCEPTUAL_CONFLICT' WHEN 2 THEN 'POSSIBLE_CROSS_CLASS_PERCEPTUAL_CONFLICT' ELSE 'POSSIBLE_HISTORICAL_BENCHMARK_LEAKAGE' END AS reason FROM best""")
+def perceptual_policy(spark, sf):
+    targets = T.records(spark, sf).select("record_id", F.col("target_class"))
+    s = _signals(spark, sf).join(targets.withColumnsRenamed({"record_id": "first", "target_class": "a_target"}), "first").join(targets.withColumnsRenamed({"record_id": "second", "target_class": "b_target"}), "second")
+    band = similarity.signal_band(F.lit("DIFFERENT_TARGET"), F.col("good"), F.col("ratio"), F.col("inlier"))
+    status = F.when(band == "verified", "VERIFIED_NEAR_DUPLICATE").when(band == "possible", "POSSIBLE_NEAR_DUPLICATE")
+    risk = F.when(F.col("a_role") != F.col("b_role"), "HISTORICAL_TO_PLANTDOC_TEST").otherwise("INTERNAL_HISTORICAL")
+    historical = lambda c: (F.col(c) == "training_candidate")
+    return composition.perceptual_policy(s.select("first", "second", "a_target", "b_target", historical("a_role").alias("a_historical"), historical("b_role").alias("b_historical"), status.alias("status"), risk.alias("risk")).where("status is not null"))
+
+
+@query("label_overrides", "SELECT d.doc_id, coalesce(l.toxic::VARCHAR, 'unlabelled') AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT doc_id, toxic::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def label_overrides(spark, sf):
+    base = T.table(spark, sf, "documents").select("doc_id", F.lit("unlabelled").alias("label"))
+    return composition.overrides(base, T.table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("string").alias("label")), "doc_id")
+
+
+@query("scan_guidance", _with(T.PREDICTIONS) + """SELECT id, CASE WHEN label = 'Background without leaves' THEN 'Unknown' ELSE split_part(label, ' ', 1) END AS plant,
+  CASE WHEN label = 'Background without leaves' THEN 'No leaf detected' WHEN r_name IS NOT NULL THEN r_name WHEN lower(label) LIKE '%healthy%' THEN 'Healthy plant' ELSE substr(label, strpos(label, ' ') + 1) END AS disease,
+  CASE WHEN label = 'Background without leaves' THEN 'none' WHEN r_name IS NOT NULL THEN 'reference' WHEN lower(label) LIKE '%healthy%' THEN 'healthy' ELSE 'general' END AS kind
+  FROM (SELECT *, CASE WHEN status = 'no_leaf' THEN 'Background without leaves' ELSE disease END AS label FROM predictions) LEFT JOIN region ON r_regionkey = class_index AND r_regionkey < 2""")
+def scan_guidance(spark, sf):
+    scans = T.predictions(spark, sf).select("id", "class_index", F.when(F.col("status") == "no_leaf", "Background without leaves").otherwise(F.col("disease")).alias("label"))
+    metadata = T.table(spark, sf, "region").where("r_regionkey < 2").select(F.col("r_regionkey").cast("int").alias("class_index"), F.col("r_name").alias("disease_name"))
+    return composition.guidance(scans, F.broadcast(metadata))  # one row a class
+
+
+@query("changed_sections", "SELECT coalesce(a.section, b.section) AS section, CASE WHEN b.section IS NULL THEN 'added' WHEN a.section IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT source AS section, count(*) AS value FROM documents WHERE lang <> 'en' GROUP BY source) a FULL JOIN (SELECT source AS section, count(*) AS value FROM documents WHERE lang <> 'de' GROUP BY source) b ON a.section = b.section WHERE a.value IS DISTINCT FROM b.value")
+def changed_sections(spark, sf):
+    docs = T.table(spark, sf, "documents")
+    side = lambda c: docs.where(c).groupBy(F.col("source").alias("section")).agg(F.count("*").alias("value"))
+    return composition.changed_sections(side("lang != 'en'"), side("lang != 'de'"))
+
+
 # Histories
 
 
@@ -669,13 +768,24 @@ def resume_plan(spark, sf):
     return replay.resume_plan(replay.history_audit(T.history(spark, sf), "user_id"), 70).select("user_id", "plan")
 
 
-@query("epoch_gaps", "SELECT conv_id, turn, place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) WHERE place <> turn + 1")
+@query("epoch_gaps", _with(T.DAILY) + "SELECT user_id, epoch, place FROM (SELECT user_id, epoch, row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS place FROM daily) WHERE place <> epoch")
 def epoch_gaps(spark, sf):
-    turns = T.table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("epoch"))
-    return replay.epoch_gaps(turns, "conv_id").select("conv_id", (F.col("epoch") - 1).alias("turn"), "place")
+    return replay.epoch_gaps(T.daily_history(spark, sf), "user_id").select("user_id", "epoch", "place")
+
+
+@query("daily_audit", _with(T.DAILY) + ", a AS (SELECT user_id, count(*) AS epochs, min(epoch) = 1 AND max(epoch) = count(*) AND count(DISTINCT epoch) = count(*) AS contiguous, arg_max(epoch, val_macro_f1 * 1e9 - epoch * 1e-3) AS f, arg_min(epoch, val_loss * 1e9 + epoch * 1e-3) AS l FROM daily GROUP BY user_id) SELECT user_id, epochs, contiguous, CASE WHEN NOT contiguous THEN 'RESTART' WHEN epochs >= 28 THEN 'COMPLETE' WHEN f = epochs AND l = epochs THEN 'RESUME' ELSE 'RESTART' END AS plan FROM a")
+def daily_audit(spark, sf):
+    return replay.resume_plan(replay.history_audit(T.daily_history(spark, sf), "user_id"), 28).select("user_id", "epochs", "contiguous", "plan")
+
+
+@query("stored_rates", _with(T.PLATEAU) + "SELECT user_id, min(epoch) AS step, 0.001::DOUBLE AS stored, arg_min(due, epoch) AS due FROM (SELECT user_id, epoch + 1 AS epoch, rate AS due FROM folded f WHERE epoch < (SELECT max(epoch) FROM history h WHERE h.user_id = f.user_id)) WHERE due <> 0.001 GROUP BY user_id")
+def stored_rates(spark, sf):
+    """Histories that kept the first rate throughout: the rule finds where it should have dropped."""
+    rows = T.history(spark, sf).withColumn("learning_rate", F.lit(0.001))
+    return replay.rate_faults(rows, "user_id", "epoch", "val_loss", "learning_rate")
 
 
-@query("plateau_replay")
+@query("plateau_replay", _with(T.PLATEAU) + "SELECT user_id, epoch::INTEGER AS steps, best, wait, cooldown, rate FROM folded WHERE epoch > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch DESC) = 1")
 def plateau_replay(spark, sf):
     return replay.replay_plateau(T.history(spark, sf), "user_id", "epoch", "val_loss")
 

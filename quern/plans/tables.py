@@ -63,6 +63,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", epoch.alias("epoch"), (F.col("value") / 500).alias("val_macro_f1"), F.col("value").alias("val_loss"), (F.col("value") / 1000).alias("macro_recall"))
 
 
+def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as histories with holes: a user's epochs are the days on which something happened, counted from the first."""
+    day = F.to_date("ts")
+    days = table(spark, sf_dir, "events").groupBy("user_id", day.alias("day")).agg(F.max("value").alias("val_loss"), (F.max("value") / 500).alias("val_macro_f1"))
+    first = Window.partitionBy("user_id")
+    return days.select("user_id", (F.datediff("day", F.min("day").over(first)) + 1).cast("long").alias("epoch"), "val_macro_f1", "val_loss")
+
+
 def hash_split() -> Column:
     """A repeatable split by the content hash."""
     digit = F.substring("sha256", 1, 1)
@@ -104,6 +112,18 @@ COMPONENTS = PAIRS.replace("records AS", "RECURSIVE records AS", 1) + """, sym A
 ), walk AS (SELECT a AS v, a AS r FROM sym UNION SELECT w.v, s.b FROM walk w JOIN sym s ON s.a = w.r
 ), parts AS (SELECT v, min(r) AS component FROM walk GROUP BY v)"""
 
+#: In ascending order, a vertex represents a group unless a smaller neighbour does; others join their least representative.
+ANCHORED = PAIRS.replace("records AS", "RECURSIVE records AS", 1) + """, sym AS (SELECT first AS a, second AS b FROM near UNION SELECT second, first FROM near
+), numbered AS (SELECT a AS v, row_number() OVER (ORDER BY a) AS k, list(b) FILTER (WHERE b < a) AS smaller FROM sym GROUP BY a
+), chosen_walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS chosen
+  UNION ALL SELECT n.k, CASE WHEN coalesce(list_has_any(n.smaller, w.chosen), false) THEN w.chosen ELSE list_append(w.chosen, n.v) END FROM chosen_walk w JOIN numbered n ON n.k = w.k + 1
+), chosen AS (SELECT unnest(chosen) AS c FROM chosen_walk WHERE k = (SELECT max(k) FROM chosen_walk)
+), joined AS (SELECT a AS v, min(b) AS representative FROM sym JOIN chosen ON c = b WHERE a NOT IN (SELECT c FROM chosen) GROUP BY a
+), members AS (SELECT * FROM joined UNION ALL SELECT DISTINCT representative, representative FROM joined
+), risk AS (SELECT representative, count(*) AS members, CASE WHEN bool_or(role = 'locked_test') THEN 'VERIFIED_BENCHMARK_LEAKAGE'
+    WHEN count(DISTINCT CASE WHEN role = 'training_candidate' AND target_class <> '' THEN target_class END) > 1 THEN 'VERIFIED_LABEL_CONFLICT' ELSE 'VERIFIED_NEAR_DUPLICATE' END AS risk
+  FROM members JOIN records ON record_id = v GROUP BY representative)"""
+
 GROUPS = """g AS (SELECT sha256, count(*) AS member_count, count(DISTINCT role) > 1 AS cross_role, bool_or(role = 'locked_test') AS touches_locked_test,
   (count(DISTINCT source_label) > 1 OR count(DISTINCT nullif(target_class, '')) > 1) AS label_conflict,
   count(DISTINCT nullif(target_class, '')) > 1 AS target_conflict, min(record_id) AS first_record_id FROM records GROUP BY sha256 HAVING count(*) > 1)"""
@@ -120,4 +140,15 @@ OUTPUTS = """outputs AS (
 
 HISTORY = """history AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value / 500 AS val_macro_f1, value AS val_loss, value / 1000 AS macro_recall FROM events)"""
 
+DAILY = """daily AS (SELECT user_id, (date_diff('day', min(day) OVER (PARTITION BY user_id), day) + 1)::BIGINT AS epoch, val_macro_f1, val_loss
+  FROM (SELECT user_id, ts::DATE AS day, max(value) AS val_loss, max(value) / 500 AS val_macro_f1 FROM events GROUP BY ALL))"""
+
+#: The plateau rule as a recursion over each history: the state after every epoch.
+PLATEAU = HISTORY.replace("history AS", "RECURSIVE history AS", 1) + """, folded AS (
+  SELECT user_id, 0::BIGINT AS epoch, 'inf'::DOUBLE AS best, 0 AS wait, 0 AS cooldown, 1e-3::DOUBLE AS rate FROM (SELECT DISTINCT user_id FROM history)
+  UNION ALL SELECT user_id, epoch, CASE WHEN better THEN val_loss ELSE best END, CASE WHEN better OR drops THEN 0 ELSE waits END, CASE WHEN drops THEN 1 ELSE left_ END, CASE WHEN drops THEN greatest(rate * 0.5, 1e-6) ELSE rate END
+  FROM (SELECT *, counts AND waits >= 2 AND rate > 1e-6 AS drops FROM (SELECT *, NOT better AND left_ <= 0 AS counts, waited + (NOT better AND left_ <= 0)::INTEGER AS waits FROM (
+    SELECT h.user_id, h.epoch, h.val_loss, f.best, f.rate, h.val_loss < f.best - 1e-4 AS better, CASE WHEN f.cooldown > 0 THEN f.cooldown - 1 ELSE 0 END AS left_, CASE WHEN f.cooldown > 0 THEN 0 ELSE f.wait END AS waited
+    FROM folded f JOIN history h ON h.user_id = f.user_id AND h.epoch = f.epoch + 1))))"""
+
 SPLIT = "CASE substr(sha256, 1, 1) WHEN '0' THEN 'TEST' WHEN '1' THEN 'VALIDATION' ELSE 'TRAIN' END"

@@ -75,12 +75,14 @@ def read_reference_table(spark: SparkSession, path: str, rows: int, encoding: st
 
 
 def scan_folder(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
-    """Image files below a folder: path, label (the folder's name), format, size, time, and a content hash on demand."""
+    """Image files below a folder: path, label (the first part of the path below it), format, size, time, and a content hash on demand."""
     pattern = "*.{" + ",".join(sorted(IMAGE_FORMATS)) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     known = F.create_map(*[F.lit(x) for p in IMAGE_FORMATS.items() for x in p])
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    out = files.select("path", F.element_at(F.split("path", "/"), -2).alias("label"), F.try_element_at(known, extension).alias("format"), "length", F.col("modificationTime").alias("modified"), *([F.sha2("content", 256).alias("sha256")] if with_content else []))
+    root = path.split(":", 1)[-1].strip("/")
+    below = F.split(F.substring_index(F.col("path"), f"{root}/", -1), "/")
+    out = files.select("path", F.when(F.size(below) > 1, F.get(below, 0)).otherwise("").alias("label"), F.try_element_at(known, extension).alias("format"), "length", F.col("modificationTime").alias("modified"), *([F.sha2("content", 256).alias("sha256")] if with_content else []))
     return out.orderBy("path")
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions import keys, text
 from quern.operators import activity, dedup, graph, metrics, policy, replay, similarity, split, weights
 from quern.plans import checks
-from quern.sources import archives, files
+from quern.plans.checks import CheckFailed
+from quern.sources import archives, files, markers
 from quern.streaming import histories
 
 
@@ -106,6 +107,60 @@ def test_graphs(spark):
     assert graph.components(df.limit(0)).count() == graph.anchor_groups(df.limit(0)).count() == 0
 
 
+def test_anchors_of_long_chains(spark):
+    """A path whose every vertex waits for the one before, beside random graphs; folded whole, and in rounds alone."""
+    rng = random.Random(4)
+    path = [(i, i + 1) for i in range(5000)]
+    wild = [(10_000 + rng.randrange(300), 10_000 + rng.randrange(300)) for _ in range(400)]
+    edges = [e for e in path + wild if e[0] != e[1]]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.v: r.representative for r in graph.anchor_groups(df, rounds=1).collect()} == serial_anchor_fast(edges)
+    few = [(f"n{a:02}", f"n{b:02}") for a, b in path[:30]]
+    got = graph.anchor_groups(spark.createDataFrame(few, "a string, b string"), rounds=2, fold_edges=0)
+    assert {r.v: r.representative for r in got.collect()} == serial_anchor(few)
+
+
+def serial_anchor_fast(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    reps, out = set(), {}
+    for v in sorted(near):
+        own = near[v] & reps
+        out[v] = min(own) if own else v
+        if not own:
+            reps.add(v)
+    held = {r for v, r in out.items() if v != r}
+    return {v: r for v, r in out.items() if r in held}
+
+
+def test_stored_rates(spark):
+    losses = [1.0, 0.9, 0.95, 0.96, 0.97, 0.98, 0.5]
+    due = [1e-3]
+    for n in range(1, len(losses)):
+        due.append(serial_plateau(losses[:n], 1e-3, 0.5, 2, 1, 1e-6)[3])
+    first = next(i for i, r in enumerate(due) if r != 1e-3)
+    rows = [("kept", i, x, r) for i, (x, r) in enumerate(zip(losses, due), 1)] + [("flat", i, x, 1e-3) for i, x in enumerate(losses, 1)]
+    got = replay.rate_faults(spark.createDataFrame(rows, "k string, e int, x double, r double"), "k", "e", "x", "r").collect()
+    assert [(r.k, r.step, r.stored, r.due) for r in got] == [("flat", first + 1, 1e-3, due[first])]
+
+
+def test_markers(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "i long, t string")
+    built = []
+    build = lambda: built.append(1) or rows
+    for _ in range(2):
+        assert markers.materialised(spark, str(tmp_path), "one", build).count() == 20
+    assert len(built) == 1
+    assert markers.materialised(spark, str(tmp_path), "two", build).count() == 20 and len(built) == 2
+    rows.where("i > 0").write.mode("append").parquet(f"{tmp_path}/rows")
+    with pytest.raises(CheckFailed):
+        markers.check_marker(spark.read.parquet(f"{tmp_path}/rows"), f"{tmp_path}/marker", "two")
+    assert markers.content_digest(rows) == markers.content_digest(rows.repartition(3).select("t", "i"))
+    assert markers.content_digest(rows.limit(0))[0] == 0
+
+
 def test_decisions(spark):
     hits = spark.createDataFrame([("r", 1, 0, "REVIEW", "a"), ("r", 3, 1, "EXCLUDE", "b"), ("r", 3, 2, "EXCLUDE", "c")], "record_id string, severity int, seq int, status string, reason string")
     assert policy.strongest(hits).first().reason == "c"
