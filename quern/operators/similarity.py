@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.keys import hamming
+from quern.operators.graph import both_ways, components
+from quern.sources.shared import stage_table
 
 # Fixed values of the refinement policy.
 SAME_TARGET_MAX = 4
@@ -59,7 +61,8 @@ def hamming_self_join(records: DataFrame, distance: int, key: str = "record_id")
     """Pairs (first, second, distance) of records within ``distance`` bits and of different content.
 
     ``records`` has (key, hash, sha256). first < second. Pairs under one hash
-    differ in content too and have distance zero.
+    differ in content too and have distance zero. All pairs of records are
+    what this is for; where very many share a hash, use ``near_classes``.
     """
     rows = records.where(F.col("hash").isNotNull()).select(key, "hash", "sha256")
     near = near_hashes(rows, distance)
@@ -70,6 +73,23 @@ def hamming_self_join(records: DataFrame, distance: int, key: str = "record_id")
     return joined.select(F.least("r1", "r2").alias("first"), F.greatest("r1", "r2").alias("second"), "distance")
 
 
+def near_classes(records: DataFrame, distance: int, key: str = "record_id") -> DataFrame:
+    """(key, class_id, n_links): a row for each record, so that a hash that very many records share makes no pairs.
+
+    class_id is the least key among all records whose hashes are reachable
+    over steps of ``distance`` bits at most; n_links counts the other distinct
+    hashes within one step. Records without a hash are left out.
+    """
+    rows = records.where(F.col("hash").isNotNull()).select(key, "hash")
+    firsts = stage_table(rows.groupBy("hash").agg(F.min(key).alias("first")), "hashes")
+    near = stage_table(near_hashes(firsts, distance).select(F.col("x").alias("a"), F.col("y").alias("b")), "near")
+    links = both_ways(near).groupBy(F.col("a").alias("hash")).agg(F.count("*").alias("n_links"))
+    placed = firsts.join(components(near).withColumnRenamed("v", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    placed = stage_table(placed, "placed")
+    named = placed.join(placed.groupBy("component").agg(F.min("first").alias("class_id")), "component").join(links, "hash", "left")
+    return rows.join(named.select("hash", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "hash").select(key, "class_id", "n_links")
+
+
 def hamming_join(left: DataFrame, right: DataFrame, distance: int, key: str = "record_id") -> DataFrame:
     """Pairs (left_id, right_id, distance) of two sets within ``distance`` bits."""
     l = banded(left.select("hash").distinct().where("hash is not null"), distance).withColumnRenamed("hash", "x")

@@ -267,6 +267,13 @@ def near_pairs_dhash(spark, sf):
     return similarity.hamming_self_join(T.records(spark, sf, True), 4)
 
 
+@query("near_classes", _with(T.HASHED.replace("records AS", "RECURSIVE records AS", 1), """steps AS (SELECT a.h AS x, b.h AS y FROM (SELECT DISTINCT h FROM hashed) a JOIN (SELECT DISTINCT h FROM hashed) b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 4)""",
+    "reach AS (SELECT DISTINCT h AS v, h AS r FROM hashed UNION SELECT v, y FROM reach JOIN steps ON x = r)")
+    + "SELECT h.record_id, c.class_id, coalesce(n.n_links, 0) AS n_links FROM hashed h JOIN (SELECT v, min(record_id) AS class_id FROM reach JOIN hashed ON r = h GROUP BY v) c ON c.v = h.h LEFT JOIN (SELECT x, count(*) AS n_links FROM steps GROUP BY x) n ON n.x = h.h")
+def near_classes(spark, sf):
+    return similarity.near_classes(T.records(spark, sf, True), 4)
+
+
 @query("cross_near_pairs", _with(T.HASHED) + "SELECT a.record_id AS left_id, b.record_id AS right_id, bit_count(xor(a.h, b.h)) AS distance FROM hashed a JOIN hashed b ON a.source_domain = 'REAL_WORLD' AND b.source_domain <> 'REAL_WORLD' WHERE bit_count(xor(a.h, b.h)) <= 2")
 def cross_near_pairs(spark, sf):
     r = T.records(spark, sf, True)
