@@ -8,6 +8,7 @@ stage's documents. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, lines, packing, simhash, toxicity
 from quern.llm.common import read_table, small, stage_table
@@ -29,10 +30,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = stage_table(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(small(hit), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark window go: rows are told apart by id and text, so a null id keeps none."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("t"))
+    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select(F.xxhash64("doc_id.doc_id").alias("d"), "doc_id.t").distinct()
+    hit = small(stage_table(hit, "contaminated"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    return rows.join(hit, ["d", "t"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
