@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import labelled_fold, stage_table
+from quern.llm.common import labelled_fold, settled_labels, stage_table
 
 #: Labelled rows that the tables are learned from, at most.
 TRAIN_ROWS = 40_000
@@ -188,14 +188,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """``docs`` without its text, plus ``x``: its features."""
+    """(row, x): the columns of ``docs`` but its text, and the text's features."""
 
     @F.pandas_udf("array<double>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([text_features(t) for t in texts])
 
-    return docs.withColumn("x", measure("text")).drop("text")
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), measure("text").alias("x"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -203,15 +203,16 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     Features are measured once for every row. The tables are learned from at
     most ``train_rows`` labelled rows outside the held-out fold, in hash order
-    of their ids; null and repeated labels are skipped. Null texts read as
-    empty; repeated rows get equal scores; an empty table gives an empty
-    result, and without labels of both classes all scores are one half. Other
-    columns pass through.
+    of their ids; null and conflicting labels are skipped, and rows that repeat
+    an id count once, by their least features. Null texts read as empty;
+    repeated rows get equal scores; an empty table gives an empty result, and
+    without labels of both classes all scores are one half. Other columns pass
+    through, but columns named held_out, score or predicted, which give way.
     """
     rows = stage_table(featured(docs), "features")
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    known = known.where(labelled_fold(F.col("doc_id")) != 1)
-    sample = rows.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(train_rows).toPandas()
+    known = settled_labels(labels, "quality")
+    found = rows.select(F.col("row.doc_id").alias("doc_id"), "x").join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()
     sample = sample.sort_values("doc_id", kind="stable")
     x = np.array(sample["x"].tolist()).reshape(-1, len(FEATURES))
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, sample["quality"].to_numpy(float)))
@@ -221,6 +222,7 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         for xs in batches:
             yield pd.Series(shared.value.predict(np.array(xs.tolist()).reshape(-1, len(FEATURES))))
 
-    out = rows.withColumn("score", score("x")).drop("x")
-    held = F.coalesce(labelled_fold(F.col("doc_id")) == 1, F.lit(False))
-    return out.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    held = F.coalesce(labelled_fold(F.col("row.doc_id")) == 1, F.lit(False))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "held_out", "score", "predicted")]
+    out = rows.select("row", held.alias("held_out"), score("x").alias("score"))
+    return out.select(*own, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

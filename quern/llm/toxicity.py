@@ -19,13 +19,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import labelled_fold
+from quern.llm.common import labelled_fold, settled_labels
 
 #: Labelled rows of each class that the lexicon and the weights are learned from.
 TRAIN_ROWS = 3000
+#: Characters of each class that reach the driver, at most.
+TRAIN_CHARS = 32_000_000
 PREDICT_AT = 0.7
 NEAR = 5
 REMEMBERED = 500_000
@@ -66,13 +68,10 @@ def bound(length: int) -> int:
 
 
 class Lexicon:
-    """Trie of terms and stems; ``common`` are clean words that are never read as misspellings.
+    """Trie of terms and stems; ``common`` are clean words that are never read as misspellings."""
 
-    With ``any_start`` a misspelling may also begin with another letter than its term.
-    """
-
-    def __init__(self, terms: list[str], stems: list[str], common: frozenset[str] = frozenset(), any_start: bool = False):
-        self.root, self.common, self.any_start = Node(), common, any_start
+    def __init__(self, terms: list[str], stems: list[str], common: frozenset[str] = frozenset()):
+        self.root, self.common = Node(), common
         for word, what in [*((t, "term") for t in terms), *((s, "stem") for s in stems)]:
             node = self.root
             for c in word:
@@ -101,7 +100,7 @@ class Lexicon:
         else:
             if node.term and word:
                 return 0
-        if len(word) < 4 or word in self.common or not (self.any_start or word[0] in self.root.next):
+        if len(word) < 4 or word in self.common:
             return None
         if (
             any(word[:n] in own for n, own in self.heads.items())
@@ -112,9 +111,9 @@ class Lexicon:
         return None
 
     def _within(self, word: str) -> int | None:
-        """Runs the word's Levenshtein automaton over the trie, first letters alike unless ``any_start``."""
+        """Runs the word's Levenshtein automaton over the trie."""
         size, best = len(word), None
-        stack = [(self.root, 0, list(range(size + 1)))] if self.any_start else [(self.root.next[word[0]], 1, [1, *range(size)])]
+        stack = [(self.root, 0, list(range(size + 1)))]
         while stack:
             node, depth, row = stack.pop()
             if node.term and row[size] <= bound(depth) and (best is None or row[size] < best):
@@ -206,7 +205,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
     # a stem that only one learned term bears adds nothing to the term
     grown = [s for s in stems if sum(1 for g in found if g.endswith("$") and g.startswith(s)) != 1]
     common = frozenset(w for w, n in plain.items() if n >= 2)
-    return Lexicon(terms, grown, common, any_start=True)
+    return Lexicon(terms, grown, common)
 
 
 #: Prior weights: intercept, exact, misspelled, distinct, density, quoted, reported, addressed.
@@ -236,18 +235,24 @@ class Model:
         return Reader(self.lexicon)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learn from at most ``rows`` toxic and ``rows`` clean labelled rows outside the held-out fold, in hash order of their ids."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    known = known.where(labelled_fold(F.col("doc_id")) != 1)
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """Learn from at most ``rows`` toxic and ``rows`` clean labelled rows outside the held-out fold, in hash order of their ids.
+
+    Of each class the first rows of ``chars`` characters in all are taken. Rows
+    that repeat a doc_id count once, by their least text; documents whose
+    labels disagree are skipped.
+    """
+    known = settled_labels(labels, "toxic")
     sample = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (1, 0)]
     chosen = sample[0].unionAll(sample[1])
     # at most 2 * rows ids are broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").collect()
-    got = sorted(((r["text"] or "", r["toxic"], zlib.crc32(str(r["doc_id"]).encode())) for r in got), key=lambda r: (r[2], r[0]))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # 2 * rows rows at most
+    got = found.withColumn("so_far", F.sum(F.length("text")).over(so_far)).where(F.col("so_far") <= chars).select("text", "toxic", "doc_id").collect()
+    got = sorted(((r["text"], r["toxic"], zlib.crc32(str(r["doc_id"]).encode())) for r in got), key=lambda r: (r[2], r[0]))
     toxic, clean = [t for t, y, _ in got if y == 1], [t for t, y, _ in got if y == 0]
     if not toxic or not clean:
-        return Model(Lexicon(list(SEED_TERMS), [], any_start=True), PRIOR_WEIGHTS.copy())
+        return Model(Lexicon(list(SEED_TERMS), []), PRIOR_WEIGHTS.copy())
     lexicon = learn_lexicon(toxic, clean)
     reader = Reader(lexicon)
     x = np.array([reader.features(t) for t in toxic + clean])
@@ -255,8 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(lexicon, fit_logistic(x, y))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1) and ``predicted``. Null and empty texts have no hits and score low."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): every row of ``docs`` as a struct, so that no name of its columns matters, and its score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))
 
     @F.pandas_udf("double")
@@ -267,20 +272,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = np.array([reader.features(t) for t in texts]).reshape(-1, FEATURES) @ weights
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn("score", toxic("text")).withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
+    return docs.select(F.struct(*docs.columns).alias("row"), toxic("text").alias("score"))
+
+
+def _own(docs: DataFrame, *but: str) -> list:
+    return [F.col("row")[c].alias(c) for c in docs.columns if c not in but]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` plus ``score`` (0 to 1) and ``predicted``; columns of these names give way. Null and empty texts have no hits and score low."""
+    return _scored(docs, model).select(*_own(docs, "score", "predicted"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores for every row of ``docs``: its columns, held_out, score and predicted.
 
     The model is learned from ``labelled`` (documents) and ``labels``; null and
-    repeated labels are skipped, and an empty table leaves the seed terms with
-    fixed weights. Repeated rows get equal scores; other columns pass through.
+    conflicting labels are skipped, and an empty table leaves the seed terms
+    with fixed weights. Repeated rows get equal scores; other columns pass
+    through, but columns named held_out, score or predicted, which give way.
     """
-    scored = score(docs, train(labelled, labels))
+    scored = score(docs.drop("held_out"), train(labelled, labels))
     return scored.withColumn("held_out", F.coalesce(labelled_fold(F.col("doc_id")) == 1, F.lit(False)))
 
 
 def keep_clean(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not predicted toxic, with their columns."""
-    return score(docs, train(labelled, labels)).where("predicted = 0").select(*docs.columns)
+    """Documents that are not predicted toxic, with their columns as they are."""
+    return _scored(docs, train(labelled, labels)).where(F.col("score") < PREDICT_AT).select(*_own(docs))

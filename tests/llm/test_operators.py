@@ -369,7 +369,7 @@ def test_automaton_equals_distances():
                     break
             words.append("".join(w))
     for w in words:
-        near = [distance(w, t) for t in terms if w and w[0] == t[0] and distance(w, t) <= toxicity.bound(len(t))]
+        near = [distance(w, t) for t in terms if distance(w, t) <= toxicity.bound(len(t))]
         want = 0 if w in terms or w.startswith("vequ") else min(near) if near and len(w) >= 4 else None
         assert lexicon.match(w) == want, w
     assert lexicon.match("vequille") == 0
@@ -379,7 +379,7 @@ def test_automaton_equals_distances():
 def test_misspelled_first_letters():
     """Terms misspelled in, before or without their first letter are within their edits as well."""
     terms = ["idiot", "moron", "stupid", "pathetic", "worthless", "disgusting"]
-    lexicon = toxicity.Lexicon(terms, [], any_start=True)
+    lexicon = toxicity.Lexicon(terms, [])
     rng = np.random.default_rng(8)
     words = ["xdiot", "xstupid", "oron", "tupid", "lathetic", "dworthless"]
     for t in terms:
