@@ -739,6 +739,20 @@ def perceptual_policy(spark, sf):
     return composition.perceptual_policy(s.select("first", "second", "a_target", "b_target", historical("a_role").alias("a_historical"), historical("b_role").alias("b_historical"), status.alias("status"), risk.alias("risk")).where("status is not null"))
 
 
+@query("record_audit", _with(T.RECORDS) + "SELECT source_path, source_label, sha256, strlen(coalesce(text, ''))::INTEGER AS bytes, mapping_status, target_class, CASE mapping_status WHEN 'MATCHED' THEN 'APPROVED_CANDIDATE' ELSE mapping_status END AS candidate_status FROM (SELECT * REPLACE (source_label || '@' || dataset AS source_label) FROM records)")
+def record_audit(spark, sf):
+    r = T.records(spark, sf).withColumn("source_label", F.concat_ws("@", "source_label", "dataset"))
+    body = T.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    entries = r.join(body, "doc_id").select("source_path", "source_label", "content", F.col("sha256").alias("stored_sha256"))
+    return composition.audited(entries, r.select("source_label", "mapping_status", "target_class").distinct())
+
+
+@query("preparation_report", _with(T.HASHED, "kept AS (SELECT min(record_id) AS r FROM records WHERE mapping_status = 'MATCHED' GROUP BY sha256)") + "SELECT (SELECT count(*) FROM near WHERE first IN (SELECT r FROM kept) AND second IN (SELECT r FROM kept)) AS n_near, count(*) AS n_rows, count(DISTINCT source_label) AS n_labels, count(*) FILTER (mapping_status = 'MATCHED') AS n_mapped, count(DISTINCT sha256) FILTER (mapping_status = 'MATCHED') AS n_kept, count(*) FILTER (mapping_status = 'MATCHED') - count(DISTINCT sha256) FILTER (mapping_status = 'MATCHED') AS n_copies FROM records")
+def preparation_report(spark, sf):
+    r = T.records(spark, sf, True)
+    return composition.preparation_report(r, similarity.hamming_self_join(r, 4))
+
+
 @query("label_overrides", "SELECT d.doc_id, coalesce(l.toxic::VARCHAR, 'unlabelled') AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT doc_id, toxic::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def label_overrides(spark, sf):
     base = T.table(spark, sf, "documents").select("doc_id", F.lit("unlabelled").alias("label"))
