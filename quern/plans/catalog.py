@@ -753,6 +753,30 @@ def preparation_report(spark, sf):
     return composition.preparation_report(r, similarity.hamming_self_join(r, 4))
 
 
+@query("historical_records", _with(T.RECORDS) + "SELECT 'hist_' || substr(sha256('archive' || chr(0) || '2' || chr(0) || source_path), 1, 20) AS record_id, source_path, source_label, target_class, sha256, bytes, 'VALID' AS integrity_status, 'INCLUDE_CANDIDATE' AS candidate_status, 'false' AS benchmark_leakage FROM (SELECT *, strlen(coalesce(text, '')) AS bytes FROM records)")
+def historical_records(spark, sf):
+    size = T.table(spark, sf, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    files = T.records(spark, sf).join(size, "doc_id").withColumn("target_index", F.lit(0))
+    return composition.initial_records(files, "archive", "2").select("record_id", "source_path", "source_label", "target_class", "sha256", "bytes", "integrity_status", "candidate_status", "benchmark_leakage")
+
+
+@query("comparable_rows", _with(T.RECORDS) + "SELECT CASE WHEN role = 'locked_test' THEN record_id ELSE 'ext_' || substr(sha256(dataset || chr(0) || source_version || chr(0) || role || chr(0) || source_path), 1, 20) END AS record_id, 'V2' AS origin, sha256 FROM records")
+def comparable_rows(spark, sf):
+    r = T.records(spark, sf)
+    return composition.comparable(r.withColumn("record_id", F.when(F.col("role") == "locked_test", F.col("record_id")).otherwise("")), "V2").select("record_id", "origin", "sha256")
+
+
+@query("composition_faults", _with(COMBINED) + "SELECT (SELECT count(*) FROM (SELECT sha256 FROM inc GROUP BY sha256 HAVING count(DISTINCT source_domain) > 1)) AS collisions, (SELECT count(*) FROM (SELECT comp FROM inc GROUP BY comp HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM taxonomy WHERE target_class NOT IN (SELECT target_class FROM inc)) AS missing_classes, (SELECT count(*) FROM inc WHERE contains(lower(split_part(source_path, '/', 1)), 'test')) AS test_paths")
+def composition_faults(spark, sf):
+    rows = _cleaned(spark, sf).where("cleaning_status = 'INCLUDE'").withColumn("composition_record_id", F.col("record_id"))
+    return composition.composition_faults(rows, T.records(spark, sf).where("target_class != ''").select("target_class").distinct())
+
+
+@query("policy_summary", _with(T.RECORDS) + f", s AS (SELECT *, {T.SPLIT} AS split FROM records), k AS (SELECT count(*) AS n FROM s WHERE split = 'TRAIN' GROUP BY source_label) SELECT count(*) FILTER (split = 'TRAIN') AS train_count, count(*) FILTER (split = 'VALIDATION') AS validation_count, count(*) FILTER (split = 'TRAIN' AND source_domain = 'HISTORICAL_CONTROLLED') AS historical_train_count, count(*) FILTER (split = 'TRAIN' AND source_domain = 'REAL_WORLD') AS real_world_train_count, (SELECT count(*) FROM k) AS class_count, (SELECT min(n) FROM k) AS least, (SELECT max(n) FROM k) AS most, (SELECT median(n) FROM k) AS median, (SELECT avg(n) FROM k) AS mean, (SELECT max(n) / min(n) FROM k) AS ratio FROM s")
+def policy_summary(spark, sf):
+    return composition.policy_summary(T.records(spark, sf).withColumn("split", T.hash_split()), "source_label")
+
+
 @query("label_overrides", "SELECT d.doc_id, coalesce(l.toxic::VARCHAR, 'unlabelled') AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT doc_id, toxic::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def label_overrides(spark, sf):
     base = T.table(spark, sf, "documents").select("doc_id", F.lit("unlabelled").alias("label"))

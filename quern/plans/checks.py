@@ -19,7 +19,7 @@ def counters(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def require(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """``df``, if no row breaks a rule; else CheckFailed with the first broken rule."""
-    row = counters(df, rules).first()
+    row = counters(df, rules).first() if rules else None
     for name in rules:
         if row[name]:
             raise CheckFailed(f"{name}: {row[name]} rows")

@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.functions import keys, text
-from quern.operators import activity, dedup, graph, metrics, policy, replay, similarity, split, weights
+from quern.operators import activity, composition, dedup, graph, metrics, policy, replay, similarity, split, weights
 from quern.plans import checks
 from quern.plans.checks import CheckFailed
 from quern.sources import archives, files, markers
@@ -146,6 +146,54 @@ def test_stored_rates(spark):
     assert [(r.k, r.step, r.stored, r.due) for r in got] == [("flat", first + 1, 1e-3, due[first])]
 
 
+def test_composition(spark):
+    taxonomy = spark.createDataFrame([("x", 0), ("y", 1)], "target_class string, target_index int")
+    rows = spark.createDataFrame([record(i, target_class="xy"[i % 2], exact_group_id="g" if i < 2 else "", refined_group_id="") for i in range(4)])
+    sides = [composition.combined_records(rows.where(c), d, taxonomy, {"is matched": F.col("mapping_status") == "MATCHED"}, "P") for c, d in (("record_id < 'r2'", composition.HISTORICAL), ("record_id >= 'r2'", composition.REAL_WORLD))]
+    out = composition.compose(*sides, taxonomy).collect()
+    assert [r.composition_record_id for r in out] == sorted(r.composition_record_id for r in out) and {r.source_record_id for r in out} == {f"r{i}" for i in range(4)}
+    assert len({r.split_group_id for r in out}) == 3
+    with pytest.raises(CheckFailed, match="collisions"):
+        composition.compose(sides[0], sides[1].withColumn("sha256", F.lit("s0")), taxonomy)
+    with pytest.raises(CheckFailed, match="missing_classes"):
+        composition.compose(sides[0].where("target_class = 'x'"), sides[1].where("target_class = 'x'"), taxonomy)
+    with pytest.raises(CheckFailed, match="is matched"):
+        composition.combined_records(rows.withColumn("mapping_status", F.lit("AMBIGUOUS")), "D", taxonomy, {"is matched": F.col("mapping_status") == "MATCHED"}, "P")
+    with pytest.raises(CheckFailed, match="target_class"):
+        composition.combined_records(rows.withColumn("target_class", F.lit("z")), "D", taxonomy, {}, "P")
+
+
+def test_audit_look_ups_and_overrides(spark):
+    entries = spark.createDataFrame([("p", "a", bytearray(b"one"), keys_sha(b"one")), ("q", "b", bytearray(b""), keys_sha(b""))], "source_path string, source_label string, content binary, stored_sha256 string")
+    mapping = spark.createDataFrame([("a", "MATCHED", "x"), ("b", "AMBIGUOUS", None)], "source_label string, mapping_status string, target_class string")
+    got = {r.source_path: (r.bytes, r.target_class, r.candidate_status) for r in composition.audited(entries, mapping).collect()}
+    assert got == {"p": (3, "x", "APPROVED_CANDIDATE"), "q": (0, "", "AMBIGUOUS")}
+    with pytest.raises(CheckFailed, match="as stored"):
+        composition.audited(entries.withColumn("content", F.lit(b"other")), mapping).collect()
+    with pytest.raises(CheckFailed, match="source_label"):
+        composition.audited(entries, mapping.limit(1)).collect()
+    scans = spark.createDataFrame([(1, "Background without leaves", 0), (2, "Apple scab", 0), (3, "Apple healthy", 5), (4, "Bell pepper spot", 6), (5, "Rust", None), (6, None, 9)], "id int, label string, class_index int")
+    meta = spark.createDataFrame([(0, "Scab")], "class_index int, disease_name string")
+    assert {r.id: (r.plant, r.disease, r.kind) for r in composition.guidance(scans, meta).collect()} == {1: ("Unknown", "No leaf detected", "none"), 2: ("Apple", "Scab", "reference"), 3: ("Apple", "Healthy plant", "healthy"), 4: ("Bell", "pepper spot", "general"), 5: ("Rust", "Rust", "general"), 6: ("Plant", "", "general")}
+    a, b = spark.createDataFrame([("k", 1), ("l", 2)], "key string, v int"), spark.createDataFrame([("l", 3), ("m", 4)], "key string, v int")
+    assert {tuple(r) for r in composition.overrides(a, b, "key").collect()} == {("k", 1), ("l", 3), ("m", 4)}
+    side = lambda rows: spark.createDataFrame(rows, "section string, value string")
+    assert {tuple(r) for r in composition.changed_sections(side([("a", "1"), ("b", "2"), ("c", None)]), side([("a", "1"), ("b", "3"), ("c", None), ("d", "4")])).collect()} == {("b", "changed"), ("d", "removed")}
+
+
+def keys_sha(data):
+    import hashlib
+
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_perceptual_hits(spark):
+    rows = [("h1", "t1", True, False, "x", "x", "VERIFIED_NEAR_DUPLICATE", "HISTORICAL_TO_PLANTDOC_TEST"), ("h1", "h2", True, True, "x", "y", "POSSIBLE_NEAR_DUPLICATE", "INTERNAL_HISTORICAL"), ("h3", "h4", True, True, "x", "x", "VERIFIED_NEAR_DUPLICATE", "INTERNAL_HISTORICAL"), ("t2", "h5", False, True, "x", "y", "POSSIBLE_NEAR_DUPLICATE", "HISTORICAL_TO_PLANTDOC_TEST"), ("h6", "v", True, False, "x", "x", "VERIFIED_NEAR_DUPLICATE", "HISTORICAL_TO_DATASET_V2")]
+    signals = spark.createDataFrame(rows, "first string, second string, a_historical boolean, b_historical boolean, a_target string, b_target string, status string, risk string")
+    got = {r.record_id: (r.status, r.reason) for r in composition.perceptual_policy(signals).collect()}
+    assert got == {"h1": ("EXCLUDE_BENCHMARK_LEAKAGE", "HISTORICAL_BENCHMARK_LEAKAGE_PERCEPTUAL"), "h2": ("REVIEW_PERCEPTUAL_CONFLICT", "POSSIBLE_CROSS_CLASS_PERCEPTUAL_CONFLICT"), "h5": ("REVIEW_PERCEPTUAL_CONFLICT", "POSSIBLE_HISTORICAL_BENCHMARK_LEAKAGE")}
+
+
 def test_markers(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "i long, t string")
     built = []
