@@ -87,6 +87,8 @@ def allocate(groups: list[tuple[str, int]], seed: int = SEED) -> dict[str, str]:
         out[group] = to
         has_images[to] += size
         has_groups[to] += 1
+    if any(has_groups[s] < floor[s] for s in SPLITS):
+        raise ValueError("a split ended with fewer groups than its minimum")
     return out
 
 

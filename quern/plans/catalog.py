@@ -513,12 +513,38 @@ def split_targets(spark, sf):
     return got.select("source", F.col("w.TRAIN").alias("train"), F.col("w.VALIDATION").alias("validation"), F.col("w.TEST").alias("test"), F.col("m.TEST").alias("least_held"))
 
 
-@query("group_split")
+def _cost_sql(to: str) -> str:
+    """The squared relative errors of images and, a little, of groups if the group went to split ``to``."""
+    errors = lambda have, want, more: " + ".join(f"pow(({have}{x}{f' + {more}' if x == to else ''} - {want}{x})::DOUBLE / greatest(1, {want}{x}), 2)" for x in "tve")
+    return f"({errors('i', 'wi', 'size')}) + 0.05::DOUBLE * ({errors('g', 'wg', '1')})"
+
+
+def _whole_sql(total: str, name: str) -> str:
+    """Whole targets of a total, largest remainders up, as columns ``name``t, ``name``v and ``name``e."""
+    a, b = f"({total} * 0.8::DOUBLE)", f"({total} * 0.1::DOUBLE)"
+    first, rest = f"({a} - floor({a}) >= {b} - floor({b}))", f"({total} - floor({a}) - 2 * floor({b}))"
+    return f"(floor({a}) + (CASE WHEN {first} THEN 0 ELSE 2 END < {rest})::INTEGER)::BIGINT AS {name}t, (floor({b}) + (CASE WHEN {first} THEN 1 ELSE 0 END < {rest})::INTEGER)::BIGINT AS {name}v, (floor({b}) + (CASE WHEN {first} THEN 2 ELSE 1 END < {rest})::INTEGER)::BIGINT AS {name}e"
+
+
+#: The greedy rule as a recursion over each stratum's groups in hash order.
+ALLOCATED = SPLIT_ROWS.replace("records AS", "RECURSIVE records AS", 1) + f""", sg AS (SELECT split_group_id, count(*) AS size, min(target_class) || chr(1) || min(source_domain) || chr(1) || array_to_string(list_sort(list(DISTINCT dataset)), chr(2)) AS stratum FROM srows GROUP BY split_group_id
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('20260810' || chr(0) || split_group_id), split_group_id) AS k, count(*) OVER (PARTITION BY stratum) AS n, sum(size) OVER (PARTITION BY stratum)::BIGINT AS total FROM sg
+), wanted AS (SELECT * REPLACE (greatest(wgt, 1) AS wgt, greatest(wgv, held) AS wgv, greatest(wge, held) AS wge) FROM (SELECT *, CASE WHEN n >= 20 THEN 2 ELSE 1 END AS held, {_whole_sql("total", "wi")}, {_whole_sql("n", "wg")} FROM numbered WHERE n >= 10)
+), walked AS (SELECT DISTINCT stratum, 0::BIGINT AS k, 0::BIGINT AS it, 0::BIGINT AS iv, 0::BIGINT AS ie, 0::BIGINT AS gt, 0::BIGINT AS gv, 0::BIGINT AS ge, NULL::VARCHAR AS split_group_id, NULL::VARCHAR AS split FROM wanted
+  UNION ALL SELECT stratum, k, it + size * (split = 'TRAIN')::INTEGER, iv + size * (split = 'VALIDATION')::INTEGER, ie + size * (split = 'TEST')::INTEGER, gt + (split = 'TRAIN')::INTEGER, gv + (split = 'VALIDATION')::INTEGER, ge + (split = 'TEST')::INTEGER, split_group_id, split
+  FROM (SELECT *, list_sort(list_filter([{{'c': ct, 'h': sha256('20260810' || chr(0) || split_group_id || chr(0) || 'TRAIN'), 's': 'TRAIN', 'u': ut}}, {{'c': cv, 'h': sha256('20260810' || chr(0) || split_group_id || chr(0) || 'VALIDATION'), 's': 'VALIDATION', 'u': uv}}, {{'c': ce, 'h': sha256('20260810' || chr(0) || split_group_id || chr(0) || 'TEST'), 's': 'TEST', 'u': ue}}],
+      lambda x: x.u > 0 OR ut + uv + ue <= n - k))[1].s AS split
+    FROM (SELECT w.*, r.it, r.iv, r.ie, r.gt, r.gv, r.ge, greatest(0, 1 - r.gt) AS ut, greatest(0, w.held - r.gv) AS uv, greatest(0, w.held - r.ge) AS ue, {_cost_sql("t")} AS ct, {_cost_sql("v")} AS cv, {_cost_sql("e")} AS ce
+      FROM walked r JOIN wanted w ON w.stratum = r.stratum AND w.k = r.k + 1))
+), assigned AS (SELECT split_group_id, split FROM walked WHERE k > 0 UNION ALL SELECT split_group_id, 'TRAIN' FROM numbered WHERE n < 10)"""
+
+
+@query("group_split", _with(ALLOCATED) + "SELECT split_group_id, split FROM assigned")
 def group_split(spark, sf):
     return split.assign_splits(split.split_groups(_split_rows(spark, sf)))
 
 
-@query("split_report")
+@query("split_report", _with(ALLOCATED) + "SELECT split, count(*) AS groups, count(*) FILTER (size = 1) AS singletons, sum(size)::BIGINT AS images, arg_min(split_group_id, {'a': -size, 'b': split_group_id}) AS largest_group, max(size) AS largest_size FROM sg JOIN assigned USING (split_group_id) GROUP BY split")
 def split_report(spark, sf):
     groups = stage_table(split.split_groups(_split_rows(spark, sf)), "groups")
     return split.group_report(groups, stage_table(split.assign_splits(groups), "assigned"))
