@@ -170,9 +170,32 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, dim - x.shape[1])))
 
 
-def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _block_products(entries: DataFrame, questions: DataFrame, dim: int, nearest: int) -> DataFrame:
+    """(q1, q2, k1, k2): of every block of entries, each query's best by the plain product, with a few more for rounding. Work is queries times entries."""
+    blocks = max(1, -(-entries.count() // PIECE))
+    groups = max(1, -(-questions.count() // QUERY_GROUP))
+    held = entries.withColumn("piece", F.pmod(F.xxhash64("k1", "k2"), F.lit(blocks))).groupBy("piece").agg(F.collect_list(F.struct("k1", "k2", "v")).alias("held"))
+    asking = questions.withColumn("group", F.pmod(F.xxhash64("k1", "k2"), F.lit(groups))).groupBy("group").agg(F.collect_list(F.struct("k1", "k2", "v")).alias("asking"))
+    dealt = asking.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for asked, own in zip(pdf["asking"], pdf["held"]):
+                scores = _matrix(pd.Series([a["v"] for a in asked]), dim) @ _matrix(pd.Series([h["v"] for h in own]), dim).T
+                keep = min(nearest + 9, len(own))
+                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                ids = lambda rows, k: np.array([r[k] for r in rows], np.int64)
+                yield pd.DataFrame({"q1": np.repeat(ids(asked, "k1"), keep), "q2": np.repeat(ids(asked, "k2"), keep), "k1": ids(own, "k1")[best].ravel(), "k2": ids(own, "k2")[best].ravel(), "guess": np.take_along_axis(scores, best, axis=1).ravel()})
+
+    return dealt.join(held, "piece").mapInPandas(scan, "q1 long, q2 long, k1 long, k2 long, guess double")
+
+
+def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "vec_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
     """The ``nearest`` rows found for each query row: query_id, rank, vec_id, score.
 
+    ``exact`` compares every query with every entry, block by block, instead of
+    through the index.
+
     ``is_query`` is a condition on rows; candidates are all rows but the query
     itself, equal vectors included. Order is by exact inner product in double
     precision, then smaller id. Null, zero, partly null and non-finite vectors
@@ -197,6 +220,12 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
     entries = stage_table(first.where("nth = 1").select("k1", "k2", "v"), "entries")
     asked = stage_table(rows.where("q").select("id", "k1", "k2").distinct(), "asked")
 
+    distinct_asked = asked.select("k1", "k2").distinct()
+    questions = stage_table(entries.join(distinct_asked, ["k1", "k2"]), "questions")
+    if exact:
+        guessed = _block_products(entries, questions, dim, nearest)
+        return _ranked(guessed, nearest + 9, entries, questions, copies, asked, nearest)
+
     sample = entries.orderBy("k1", "k2").limit(FIT_ROWS).toPandas()
     padded = dim + -dim % BLOCK
     model = spark.sparkContext.broadcast(fit(_matrix(sample["v"], dim), entries.count()))
@@ -227,8 +256,6 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
                 n = best.shape[1]
                 yield pd.DataFrame({"file": best.ravel().astype(np.int32), "q1": np.repeat(pdf["k1"].to_numpy(), n), "q2": np.repeat(pdf["k2"].to_numpy(), n), "v": [v for v in pdf["v"] for _ in range(n)]})
 
-    distinct_asked = asked.select("k1", "k2").distinct()
-    questions = stage_table(entries.join(distinct_asked, ["k1", "k2"]), "questions")
     probed = questions.mapInPandas(probe, "file int, q1 long, q2 long, v array<float>")
     groups = int(max(1, -(-questions.count() // QUERY_GROUP)))
     probed = probed.withColumn("group", F.pmod(F.xxhash64("q1", "q2"), F.lit(groups)))
@@ -263,8 +290,13 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
                 )
 
     guessed = asking.join(pieces, "file").mapInPandas(scan, "q1 long, q2 long, k1 long, k2 long, guess double")
+    return _ranked(guessed, RERANK, entries, questions, copies, asked, nearest)
+
+
+def _ranked(guessed: DataFrame, rerank: int, entries: DataFrame, questions: DataFrame, copies: DataFrame, asked: DataFrame, nearest: int) -> DataFrame:
+    """The answers: each query's ``rerank`` best guesses by their exact product, and equal vectors by id."""
     by_guess = Window.partitionBy("q1", "q2").orderBy(F.desc("guess"), "k1", "k2")
-    guessed = stage_table(guessed.withColumn("nth", F.row_number().over(by_guess)).where(F.col("nth") <= RERANK).drop("nth", "guess"), "guessed")
+    guessed = stage_table(guessed.withColumn("nth", F.row_number().over(by_guess)).where(F.col("nth") <= rerank).drop("nth", "guess"), "guessed")
 
     exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = guessed.join(entries.select("k1", "k2", F.col("v").alias("b")), ["k1", "k2"])
