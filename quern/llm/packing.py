@@ -26,7 +26,7 @@ from quern.llm.common import small, stage_table
 SEQUENCE = 2048
 END_ID = 0
 #: Bytes of text that are tokenized at a time; a longer text is taken by itself.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Chunks that are encoded as one text.
 CHUNKS_A_TEXT = 1000
 #: ASCII marks that a word never forms a token with; the apostrophe does.
@@ -186,6 +186,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
                 ]
                 out = [block.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
