@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ TRAIN_ROWS = 3000
 TRAIN_CHARS = 32_000_000
 PREDICT_AT = 0.7
 NEAR = 5
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Stems are word beginnings of this many letters.
 STEM = range(4, 9)
 
@@ -49,6 +50,7 @@ class Node:
     next: dict[str, Node] = field(default_factory=dict)
     term: bool = False
     stem: bool = False
+    edits: int = -1  # most edits that any term below allows
 
 
 def core(chunk: str) -> str:
@@ -62,6 +64,10 @@ def core(chunk: str) -> str:
     return "".join(c for c in word.translate(LOOKALIKE) if c.isalpha())
 
 
+#: Edits allowed for any term.
+MOST_EDITS = 2
+
+
 def bound(length: int) -> int:
     """Edits allowed for a term of this many letters."""
     return 0 if length < 5 else 1 if length < 9 else 2
@@ -74,19 +80,23 @@ class Lexicon:
         self.root, self.common = Node(), common
         for word, what in [*((t, "term") for t in terms), *((s, "stem") for s in stems)]:
             node = self.root
+            allowed = bound(len(word)) if what == "term" else -1
+            node.edits = max(node.edits, allowed)
             for c in word:
                 node = node.next.setdefault(c, Node())
+                node.edits = max(node.edits, allowed)
             setattr(node, what, True)
         # k edits leave one of k + 1 pieces of a term whole: no word without such a piece can be in bound
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
-        self.middles: set[str] = set()
+        self.middles: dict[int, set[str]] = {}
         for term in terms:
             if edits := bound(len(term)):
                 cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
                 self.heads.setdefault(cuts[1], set()).add(term[: cuts[1]])
                 self.tails.setdefault(len(term) - cuts[-2], set()).add(term[cuts[-2] :])
-                self.middles.update(term[i:j] for i, j in zip(cuts[1:-2], cuts[2:-1]))
+                for i, j in zip(cuts[1:-2], cuts[2:-1]):
+                    self.middles.setdefault(j - i, set()).add(term[i:j])
 
     def match(self, word: str) -> int | None:
         """Least edits to any term (0: itself or a stem), None without a term in bound."""
@@ -105,24 +115,37 @@ class Lexicon:
         if (
             any(word[:n] in own for n, own in self.heads.items())
             or any(word[-n:] in own for n, own in self.tails.items())
-            or any(m in word for m in self.middles)
+            or any(word[i : i + n] in own for n, own in self.middles.items() for i in range(len(word) - n + 1))
         ):
             return self._within(word)
         return None
 
     def _within(self, word: str) -> int | None:
         """Runs the word's Levenshtein automaton over the trie."""
-        size, best = len(word), None
-        stack = [(self.root, 0, list(range(size + 1)))]
+        size, best, over = len(word), None, MOST_EDITS + 1
+        stack = [(self.root, 0, [min(i, over) for i in range(size + 1)])]
         while stack:
             node, depth, row = stack.pop()
             if node.term and row[size] <= bound(depth) and (best is None or row[size] < best):
                 best = row[size]
+            # only places within MOST_EDITS of the diagonal can hold so few edits
+            first, last = max(1, depth + 1 - MOST_EDITS), min(size, depth + 1 + MOST_EDITS)
+            if first > last:
+                continue
             for c, child in node.next.items():
-                new = [row[0] + 1]
-                for i in range(1, size + 1):
-                    new.append(min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c)))
-                if min(new) <= 2:
+                new = [over] * (size + 1)
+                least = new[0] = min(depth + 1, over)
+                for i in range(first, last + 1):
+                    here = row[i - 1] + (word[i - 1] != c)
+                    if row[i] < here:
+                        here = min(here, row[i] + 1)
+                    if new[i - 1] < here:
+                        here = min(here, new[i - 1] + 1)
+                    if here < over:
+                        new[i] = here
+                        if here < least:
+                            least = here
+                if least <= child.edits:
                     stack.append((child, depth + 1, new))
         return best
 
@@ -173,8 +196,10 @@ class Reader:
 def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
     """Words and stems that mark toxic rows: frequent enough in them, and twenty times as frequent as in clean rows."""
 
+    one: dict[str, str] = {}  # equal words of different texts are one string
+
     def words(text: str) -> set[str]:
-        return {w for c in set(text.split()) if len(w := core(c)) >= 4}
+        return {one.setdefault(w, w) for c in set(text.split()) if len(w := core(c)) >= 4}
 
     def grams(ws: set[str]) -> set[str]:
         return {w[:n] for w in ws for n in STEM if len(w) >= n} | {f"{w}$" for w in ws}
@@ -204,8 +229,10 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
             stems.append(g)
     # a stem that only one learned term bears adds nothing to the term
     grown = [s for s in stems if sum(1 for g in found if g.endswith("$") and g.startswith(s)) != 1]
-    common = frozenset(w for w, n in plain.items() if n >= 2)
-    return Lexicon(terms, grown, common)
+    # of the words of clean rows only those that would be read as misspellings need to be known
+    lexicon = Lexicon(terms, grown)
+    lexicon.common = frozenset(w for w, n in plain.items() if n >= 2 and lexicon.match(w))
+    return lexicon
 
 
 #: Prior weights: intercept, exact, misspelled, distinct, density, quoted, reported, addressed.
@@ -271,6 +298,9 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             z = np.array([reader.features(t) for t in texts]).reshape(-1, FEATURES) @ weights
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        # the worker stays for later stages: give back what batches of texts took
+        del lexicon, reader
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.struct(*docs.columns).alias("row"), toxic("text").alias("score"))
 
