@@ -10,7 +10,6 @@ in salted parts, so one very common length is no single task.
 
 from __future__ import annotations
 
-import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -75,10 +74,9 @@ class ChunkEncoder:
         special = {i: t.content for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.part_id = max(special, default=-1)
         self.part = special.get(self.part_id)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        token = self.tokenizer.id_to_token
+        self.ends = np.array([bool(suffix) and (token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
         self.by_chunk = bool(suffix) and self.part is not None and all(self._whole([t])[0].tolist() == [i for c in t.split() for i in self._whole([c])[0].tolist()] for t in PROBES)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
