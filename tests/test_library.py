@@ -237,6 +237,34 @@ def test_split_targets_and_allocation(spark):
     assert split.leakage(done.withColumn("sha256", F.lit("same"))).first().splits == 3
 
 
+def test_split_costs_are_plain_double_sums():
+    """Costs are added as SQL adds them, term by term: where two splits' costs are equal so, the hash decides."""
+
+    def serial(groups, plain):
+        n, out = len(groups), {}
+        floor = {"TRAIN": 1, "VALIDATION": 2 if n >= 20 else 1, "TEST": 2 if n >= 20 else 1}
+        want = [split._whole(sum(s for _, s in groups)), {s: max(k, floor[s]) for s, k in split._whole(n).items()}]
+        have = [dict.fromkeys(split.SPLITS, 0), dict.fromkeys(split.SPLITS, 0)]
+        for at, (g, size) in enumerate(sorted(groups, key=lambda g: (split._hash(split.SEED, g[0]), g[0]))):
+            unmet = {s: max(0, floor[s] - have[1][s]) for s in split.SPLITS}
+            open_ = [s for s in split.SPLITS if unmet[s]] if sum(unmet.values()) > n - at - 1 else split.SPLITS
+
+            def cost(to):
+                images, counts = ([((h[s] + more * (s == to) - w[s]) / max(1, w[s])) ** 2 for s in split.SPLITS] for h, w, more in zip(have, want, (size, 1)))
+                add = (lambda x: x[0] + x[1] + x[2]) if plain else sum
+                return add(images) + split.GROUP_WEIGHT * add(counts)
+
+            to = min(open_, key=lambda s: (cost(s), split._hash(split.SEED, g, s)))
+            out[g] = to
+            have[0][to] += size
+            have[1][to] += 1
+        return out
+
+    strata = [[(f"{seed}-{i}", 1 + (i % 7 == 0)) for i in range(150 + seed)] for seed in range(12)]
+    assert all(split.allocate(s) == serial(s, True) for s in strata)
+    assert any(serial(s, True) != serial(s, False) for s in strata)  # the strata tell the two sums apart, where sum() keeps lost bits (Python 3.12 on)
+
+
 def test_weights(spark):
     rows = spark.createDataFrame([("a",)] * 90 + [("b",)] * 9 + [("c",)], "label string")
     got = {r.label: r for r in weights.class_weights(rows, "label").collect()}
