@@ -10,7 +10,7 @@ files it probes; the best entries are reranked by the exact product.
 Centres and code books are fitted on a bounded sample; every vector is
 indexed. How many files a query probes is set on the sample too: as many as
 hold nearly all exact neighbours of sampled queries. Queries of one file are scanned in groups against pieces of bounded
-size, so a large file is many tasks.
+size, so a large file is many tasks; what a worker holds does not grow with the vectors or centres.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,22 @@ BLOCK = 2
 WORDS = 16
 #: Squared cosine from which on a query counts as close to a vector.
 THRESHOLD = 0.2
+#: Entries of a matrix of products that are held at a time.
+CELLS = 1 << 20
+#: Query vectors, one for each file probed, that leave a worker at a time.
+SENT = 1 << 14
+
+
+def _steps(rows: int, width: int, cells: int) -> list[slice]:
+    """Slices of ``rows`` rows that hold ``cells`` entries of ``width`` columns each, or one row."""
+    step = max(1, cells // max(1, width))
+    return [slice(at, at + step) for at in range(0, rows, step)]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector."""
+    norms = (centres**2).sum(1)[None, :]
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(norms - 2 * x[s] @ centres.T, axis=1) for s in _steps(len(x), len(centres), CELLS))])
 
 
 @dataclass
@@ -54,7 +71,12 @@ class Quantiser:
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The nearest centre of each vector."""
-        return np.argmin((self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T, axis=1)
+        return _nearest(x, self.centres)
+
+    def probed(self, queries: np.ndarray) -> np.ndarray:
+        """The files that each query probes, best first: queries x probes."""
+        best = [np.argsort(-(queries[s] @ self.centres.T), axis=1, kind="stable")[:, : self.probes].copy() for s in _steps(len(queries), len(self.centres), CELLS)]
+        return np.concatenate([np.zeros((0, min(self.probes, len(self.centres))), np.int64), *best])
 
     def encode(self, x: np.ndarray, at: np.ndarray, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """Code words by coordinate descent on the anisotropic loss (rows x blocks), and the scale of each row."""
@@ -105,7 +127,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
         picked.append(int(rng.choice(len(x), p=far / total)) if total > 0 else picked[0])
     centres = x[picked].copy()
     for _ in range(rounds):
-        at = np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, axis=1)
+        at = _nearest(x, centres)
         counts = np.bincount(at, minlength=len(centres))
         for j in range(x.shape[1]):
             sums = np.bincount(at, x[:, j], len(centres))
@@ -236,8 +258,8 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
             if len(pdf):
                 x = _matrix(pdf["v"], padded)
                 at = q.assign(x)
-                codes, scale = q.encode(x, at)
-                codes = codes.astype(np.uint8)
+                coded = [q.encode(x[s], at[s]) for s in _steps(len(x), q.books.shape[0] * WORDS, CELLS)]
+                codes, scale = np.concatenate([c.astype(np.uint8) for c, _ in coded]), np.concatenate([s for _, s in coded])
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, 0::2] << 4 | codes[:, 1::2]  # two blocks a byte
                 yield pd.DataFrame({"file": at.astype(np.int32), "k1": pdf["k1"], "k2": pdf["k2"], "scale": scale, "code": [c.tobytes() for c in packed]})
@@ -251,45 +273,46 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
         q = model.value
         for pdf in frames:
             if len(pdf):
-                scores = _matrix(pdf["v"], padded) @ q.centres.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : q.probes]
+                best = q.probed(_matrix(pdf["v"], padded))
                 n = best.shape[1]
-                yield pd.DataFrame({"file": best.ravel().astype(np.int32), "q1": np.repeat(pdf["k1"].to_numpy(), n), "q2": np.repeat(pdf["k2"].to_numpy(), n), "v": [v for v in pdf["v"] for _ in range(n)]})
+                for s in _steps(len(pdf), n, SENT):
+                    some = pdf.iloc[s]
+                    yield pd.DataFrame({"file": best[s].ravel().astype(np.int32), "q1": np.repeat(some["k1"].to_numpy(), n), "q2": np.repeat(some["k2"].to_numpy(), n), "v": [v for v in some["v"] for _ in range(n)]})
+
+    def count_probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = model.value
+        for pdf in frames:
+            if len(pdf):
+                yield pd.DataFrame({"file": q.probed(_matrix(pdf["v"], padded)).ravel().astype(np.int32)}).groupby("file").size().reset_index(name="n")
 
-    probed = questions.mapInPandas(probe, "file int, q1 long, q2 long, v array<float>")
-    groups = int(max(1, -(-questions.count() // QUERY_GROUP)))
-    probed = probed.withColumn("group", F.pmod(F.xxhash64("q1", "q2"), F.lit(groups)))
+    # groups by the queries that a file has, since each group meets every piece of it
+    probes = questions.mapInPandas(count_probes, "file int, n long").groupBy("file").agg(F.ceil(F.sum("n") / QUERY_GROUP).alias("groups"))
+    probed = questions.mapInPandas(probe, "file int, q1 long, q2 long, v array<float>").join(small(stage_table(probes, "probes")), "file")
+    probed = probed.withColumn("group", F.pmod(F.xxhash64("q1", "q2"), F.col("groups")))
     asking = probed.groupBy("file", "group").agg(F.collect_list(F.struct("q1", "q2", "v")).alias("asking"))
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # lists stay Arrow arrays: as Python objects they would take many times their size
         q = model.value
-        for pdf in frames:
-            for file, asking_, held in zip(pdf["file"], pdf["asking"], pdf["held"]):
-                queries = np.array([a["v"] for a in asking_], np.float64)
+        for batch in batches:
+            for file, asks, holds in zip(batch.column("file").to_pylist(), batch.column("asking"), batch.column("held")):
+                asked, held = asks.values, holds.values
+                queries = asked.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
                 queries = np.pad(queries, ((0, 0), (0, padded - queries.shape[1])))
                 tables = q.tables(queries)
                 tables = np.pad(tables, ((0, 0), (0, tables.shape[1] % 2), (0, 0)))
                 joint = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, WORDS * WORDS)
-                codes = np.frombuffer(b"".join(h["code"] for h in held), np.uint8).reshape(len(held), -1)
+                codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(held), -1)
                 scores = np.zeros((len(queries), len(held)))
                 for b in range(codes.shape[1]):
                     scores += joint[:, b].take(codes[:, b], axis=1)
-                scores = scores * np.array([h["scale"] for h in held])[None, :] + (queries @ q.centres[file])[:, None]
+                scores = scores * held.field("scale").to_numpy()[None, :] + (queries @ q.centres[file])[:, None]
                 keep = min(FROM_PIECE, len(held))
                 best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                k1 = np.array([h["k1"] for h in held], np.int64)
-                k2 = np.array([h["k2"] for h in held], np.int64)
-                yield pd.DataFrame(
-                    {
-                        "q1": np.repeat(np.array([a["q1"] for a in asking_], np.int64), keep),
-                        "q2": np.repeat(np.array([a["q2"] for a in asking_], np.int64), keep),
-                        "k1": k1[best].ravel(),
-                        "k2": k2[best].ravel(),
-                        "guess": np.take_along_axis(scores, best, axis=1).ravel(),
-                    }
-                )
-
-    guessed = asking.join(pieces, "file").mapInPandas(scan, "q1 long, q2 long, k1 long, k2 long, guess double")
+                found = [np.repeat(asked.field(k).to_numpy(), keep) for k in ("q1", "q2")] + [held.field(k).to_numpy()[best].ravel() for k in ("k1", "k2")]
+                yield pa.RecordBatch.from_arrays([pa.array(f) for f in (*found, np.take_along_axis(scores, best, axis=1).ravel())], ["q1", "q2", "k1", "k2", "guess"])
+
+    guessed = asking.join(pieces, "file").select("file", "asking", "held").mapInArrow(scan, "q1 long, q2 long, k1 long, k2 long, guess double")
     return _ranked(guessed, RERANK, entries, questions, copies, asked, nearest)
 
 
