@@ -10,6 +10,7 @@ in salted parts, so one very common length is no single task.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -137,6 +138,8 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 def encoder_for(path: str) -> ChunkEncoder:
+    # tasks run side by side already; the tokenizer's own threads would each keep memory of their own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]

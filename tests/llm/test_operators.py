@@ -1,8 +1,12 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -300,6 +304,16 @@ def test_chunks_encode_as_whole_texts():
         assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_encoding_starts_no_threads():
+    """A worker's threads would each keep memory of their own, beside those of the other tasks."""
+    run = (
+        "import os, pyarrow as pa, quern.llm.packing as p; n = len(os.listdir('/proc/self/task')); e = p.encoder_for(p.default_tokenizer());"
+        "e.encode(pa.array([f'word{i} other{i % 7}, (x{i})' for i in range(50000)])); print('more' if len(os.listdir('/proc/self/task')) - n >= min(4, os.cpu_count()) else 'none')"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", run], env=env, capture_output=True, text=True, check=True).stdout.split()[-1] == "none"
+
+
 def test_packing_keeps_ids(spark):
     """Null ids, very large ones and ids of other types in one batch come back as they are."""
     big = [1152921504606846977, None, -(1 << 63), (1 << 63) - 1, 3, 3]
@@ -747,6 +761,22 @@ def test_search_recall_ties_and_odd_rows(spark):
     assert np.allclose(got.score, exact, rtol=0, atol=1e-9)
 
 
+def test_memory_of_search_is_bounded_with_many_centres():
+    """A batch of 10,000 vectors against 4,096 centres is not one matrix of 328 MB."""
+    rng = np.random.default_rng(3)
+    q = ann.Quantiser(rng.normal(size=(4096, 8)), np.zeros((4, ann.WORDS, ann.BLOCK)), 1.0, probes=3)
+    x = rng.normal(size=(10_000, 8))
+    tracemalloc.start()
+    at, files = q.assign(x), q.probed(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    some = slice(0, 10_000, 997)
+    assert (at[some] == ((x[some, None] - q.centres[None]) ** 2).sum(-1).argmin(1)).all()
+    assert (files[some] == np.argsort(-(x[some] @ q.centres.T), axis=1, kind="stable")[:, :3]).all()
+    assert len(q.assign(x[:0])) == 0 and q.probed(x[:0]).shape == (0, 3)
+
+
 def test_search_small(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (0, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(rows, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
