@@ -10,10 +10,12 @@ in salted parts, so one very common length is no single task.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,11 @@ from quern.llm.common import small, stage_table
 SEQUENCE = 2048
 END_ID = 0
 #: Bytes of text that are tokenized at a time; a longer text is taken by itself.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Chunks that are encoded as one text.
 CHUNKS_A_TEXT = 1000
+#: Texts whose encodings are held at a time.
+TEXTS_A_CALL = 8
 #: ASCII marks that a word never forms a token with; the apostrophe does.
 MARKS = r"!-&(-/:-@\[-`{-~"
 #: Letters whose tokens do not depend on what follows them.
@@ -49,8 +53,13 @@ def _strung(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.nda
     """The ids of the entries ``at``, one after the other, and how many each has; entry i has ``sizes[i]`` ids of ``flat``."""
     own = sizes[at]
     ends = np.cumsum(own)
-    begins = (np.cumsum(sizes) - sizes)[at]
-    return flat[np.repeat(begins - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)], own
+    total = int(ends[-1]) if len(ends) else 0
+    shift = (np.cumsum(sizes) - sizes)[at] - (ends - own)
+    # places of half the width while they fit: these arrays are the largest that a worker holds
+    narrow = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    places = np.repeat(shift.astype(narrow), own)
+    places += np.arange(total, dtype=narrow)
+    return flat[places], own
 
 
 class ChunkEncoder:
@@ -80,13 +89,19 @@ class ChunkEncoder:
         self.ends = np.array([bool(suffix) and (token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
         self.by_chunk = bool(suffix) and self.part is not None and all(self._whole([t])[0].tolist() == [i for c in t.split() for i in self._whole([c])[0].tolist()] for t in PROBES)
 
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids. Few texts at a time: an encoding takes many times the size of its ids."""
+        for at in range(0, len(texts), TEXTS_A_CALL):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + TEXTS_A_CALL], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = list(self._ids(texts))
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
     def _joined(self, parts: list[str], by: str) -> np.ndarray:
         texts = [by.join([*parts[at : at + CHUNKS_A_TEXT], ""]) for at in range(0, len(parts), CHUNKS_A_TEXT)]
-        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        return np.concatenate([np.zeros(0, np.uint32), *self._ids(texts)])
 
     def _parts(self, parts: pa.StringArray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All parts' ids after each other, and how many each has. ``odd`` ones may hold an added token."""
@@ -145,6 +160,13 @@ def encoder_for(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def _release() -> None:
+    """Give freed memory back: a worker stays for later blocks, tasks and stages, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with BLOCK_BYTES of text at most, or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -169,6 +191,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         end = np.array([end_id], "<u4").tobytes()
+        _release()  # what an earlier stage left in this worker
         for batch in batches:
             for block in _blocks(batch):
                 ids, bounds = encoder.encode(block.column("text"))
@@ -187,7 +210,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
                 ]
                 out = [block.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32"])
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
+                del ids, octets, out, block
+                _release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 

@@ -314,6 +314,24 @@ def test_encoding_starts_no_threads():
     assert subprocess.run([sys.executable, "-c", run], env=env, capture_output=True, text=True, check=True).stdout.split()[-1] == "none"
 
 
+def test_few_encodings_are_held():
+    """An encoding takes many times the size of its ids: few texts go to the tokenizer at a time."""
+    import pyarrow as pa
+
+    class Counting:
+        def __init__(self, own):
+            self.own, self.most = own, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.most = max(self.most, len(texts))
+            return self.own.encode_batch_fast(texts, **more)
+
+    encoder = packing.ChunkEncoder(packing.default_tokenizer())
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    encoder.encode(pa.array([" ".join(f"word{i}x{j}, {i}" for j in range(10)) for i in range(9000)]))
+    assert 0 < encoder.tokenizer.most <= 16
+
+
 def test_packing_keeps_ids(spark):
     """Null ids, very large ones and ids of other types in one batch come back as they are."""
     big = [1152921504606846977, None, -(1 << 63), (1 << 63) - 1, 3, 3]
