@@ -257,6 +257,23 @@ def test_families_in_one_wide_band(spark):
     assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == set(range(150, 300))
 
 
+def test_like_lines_of_common_shingles_alone(spark):
+    """Every word is in hundreds of lines, and so are most pairs of words: two like lines share nothing rare."""
+    rng = np.random.default_rng(31)
+    words = [["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 9)) for _ in range(3)] for _ in range(10)]
+    firsts, seconds = sorted({" ".join(own[int(rng.integers(3))] for own in words) for _ in range(450)}), []
+    for i, line in enumerate(firsts):
+        at = 4 + 10 * (i % 10)
+        seconds.append(f"{line[:at]}z{line[at + 1 :]}")
+    every = [gram_set(line) for line in firsts + seconds]
+    links = [(a, b) for b in range(len(every)) for a in range(b) if len(every[a] & every[b]) >= 0.8 * len(every[a] | every[b])]
+    want = {i for i, first in connected(range(len(every)), links).items() if i != first}
+    assert len(want) >= len(firsts)
+    for exact in (False, True):
+        out = lines.dedup_lines(docs_of(spark, firsts + seconds), exact)
+        assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == want, exact
+
+
 # Packing
 
 
