@@ -274,6 +274,29 @@ def test_like_lines_of_common_shingles_alone(spark):
         assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == want, exact
 
 
+def test_wide_bands_take_little_disk(spark, monkeypatch):
+    """Lines of common shingles meet as short rows: what is staged at once stays near the size of the texts."""
+    from pathlib import Path
+
+    from quern.llm import common
+
+    rng = np.random.default_rng(37)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 9)) for _ in range(30)]
+    texts = sorted({" ".join(words[int(w)] for w in rng.integers(0, 30, 12)) for _ in range(3000)})
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before, peak = held(), []
+
+    def staged(df, name, plain=common.stage_table):
+        out = plain(df, name)
+        peak.append(held() - before)
+        return out
+
+    monkeypatch.setattr(common, "stage_table", staged)
+    lines.dropped_lines(docs_of(spark, texts), True)
+    assert max(peak) < 8 * sum(map(len, texts))
+
+
 # Packing
 
 
