@@ -9,8 +9,9 @@ files it probes; the best entries are reranked by the exact product.
 
 Centres and code books are fitted on a bounded sample; every vector is
 indexed. How many files a query probes is set on the sample too: as many as
-hold nearly all exact neighbours of sampled queries. Queries of one file are scanned in groups against pieces of bounded
-size, so a large file is many tasks; what a worker holds does not grow with the vectors or centres.
+hold nearly all exact neighbours of sampled queries. Queries are dealt into lots; all pieces that a lot probes pass
+one worker, which keeps each query's best of them all, so what goes on grows with the queries alone. What a worker
+holds does not grow with the vectors or centres.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ PER_CENTRE = 1024
 CENTRES = (16, 4096)
 PIECE = 4096
 QUERY_GROUP = 256
-#: Best entries of a piece, and of a query, that go on to the exact product.
-FROM_PIECE = 64
+#: Best entries of a query, of all files that it probes, that go on to the exact product.
 RERANK = 200
+#: Queries whose best are held while all pieces that they probe go by, QUERY_GROUP of them scanned at a time.
+LOT = 2048
 BLOCK = 2
 WORDS = 16
 #: Squared cosine from which on a query counts as close to a vector.
@@ -181,6 +183,15 @@ def _probes_needed(q: Quantiser, x: np.ndarray) -> int:
     return int(needed[min(len(needed) - 1, int(PROBED_SHARE * len(needed)))]) + 1 if len(needed) else 1
 
 
+def _best(found: list[np.ndarray]) -> list[np.ndarray]:
+    """The RERANK best guesses of each query: q1, q2, k1, k2, guess."""
+    order = np.lexsort((-found[4], found[1], found[0]))
+    found = [c[order] for c in found]
+    new = np.r_[True, (np.diff(found[0]) != 0) | (np.diff(found[1]) != 0)]
+    nth = np.arange(len(new)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return [c[nth < RERANK] for c in found]
+
+
 def _usable(vectors: DataFrame, vector: str) -> DataFrame:
     v = F.col(vector)
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
@@ -279,40 +290,53 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, vec_id: str = "
                     some = pdf.iloc[s]
                     yield pd.DataFrame({"file": best[s].ravel().astype(np.int32), "q1": np.repeat(some["k1"].to_numpy(), n), "q2": np.repeat(some["k2"].to_numpy(), n), "v": [v for v in some["v"] for _ in range(n)]})
 
-    def count_probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = model.value
-        for pdf in frames:
-            if len(pdf):
-                yield pd.DataFrame({"file": q.probed(_matrix(pdf["v"], padded)).ravel().astype(np.int32)}).groupby("file").size().reset_index(name="n")
-
-    # groups by the queries that a file has, since each group meets every piece of it
-    probes = questions.mapInPandas(count_probes, "file int, n long").groupBy("file").agg(F.ceil(F.sum("n") / QUERY_GROUP).alias("groups"))
-    probed = questions.mapInPandas(probe, "file int, q1 long, q2 long, v array<float>").join(small(stage_table(probes, "probes")), "file")
-    probed = probed.withColumn("group", F.pmod(F.xxhash64("q1", "q2"), F.col("groups")))
-    asking = probed.groupBy("file", "group").agg(F.collect_list(F.struct("q1", "q2", "v")).alias("asking"))
+    # queries keep to one lot in all files that they probe; large lots, since every one has its pieces sent
+    many, tasks = questions.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = max(1, -(-many // LOT), min(tasks, many // 64))
+    probed = questions.mapInPandas(probe, "file int, q1 long, q2 long, v array<float>").withColumn("lot", F.pmod(F.xxhash64("q1", "q2"), F.lit(lots)))
+    probed = probed.withColumn("part", F.pmod(F.xxhash64("q2", "q1"), F.lit(max(1, -(-many // (lots * QUERY_GROUP))))))
+    asking = probed.groupBy("file", "lot").agg(F.collect_list(F.struct("q1", "q2", "v", "part")).alias("asking"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # lists stay Arrow arrays: as Python objects they would take many times their size
         q = model.value
+        kept: dict[int, list[np.ndarray]] = {}
+        lot = None
+
+        def best_of(kept: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for own in kept.values():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in own], ["q1", "q2", "k1", "k2", "guess"])
+
         for batch in batches:
-            for file, asks, holds in zip(batch.column("file").to_pylist(), batch.column("asking"), batch.column("held")):
-                asked, held = asks.values, holds.values
-                queries = asked.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
-                queries = np.pad(queries, ((0, 0), (0, padded - queries.shape[1])))
-                tables = q.tables(queries)
-                tables = np.pad(tables, ((0, 0), (0, tables.shape[1] % 2), (0, 0)))
-                joint = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, WORDS * WORDS)
+            for at, file, asks, holds in zip(batch.column("lot").to_pylist(), batch.column("file").to_pylist(), batch.column("asking"), batch.column("held")):
+                if at != lot:
+                    yield from best_of(kept)
+                    kept, lot = {}, at
+                held = holds.values
                 codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(held), -1)
-                scores = np.zeros((len(queries), len(held)))
-                for b in range(codes.shape[1]):
-                    scores += joint[:, b].take(codes[:, b], axis=1)
-                scores = scores * held.field("scale").to_numpy()[None, :] + (queries @ q.centres[file])[:, None]
-                keep = min(FROM_PIECE, len(held))
-                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                found = [np.repeat(asked.field(k).to_numpy(), keep) for k in ("q1", "q2")] + [held.field(k).to_numpy()[best].ravel() for k in ("k1", "k2")]
-                yield pa.RecordBatch.from_arrays([pa.array(f) for f in (*found, np.take_along_axis(scores, best, axis=1).ravel())], ["q1", "q2", "k1", "k2", "guess"])
-
-    guessed = asking.join(pieces, "file").select("file", "asking", "held").mapInArrow(scan, "q1 long, q2 long, k1 long, k2 long, guess double")
+                part = asks.values.field("part").to_numpy()
+                for own in np.unique(part):
+                    asked = asks.values.take(pa.array(np.flatnonzero(part == own)))
+                    queries = asked.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
+                    queries = np.pad(queries, ((0, 0), (0, padded - queries.shape[1])))
+                    tables = q.tables(queries)
+                    tables = np.pad(tables, ((0, 0), (0, tables.shape[1] % 2), (0, 0)))
+                    joint = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, WORDS * WORDS)
+                    scores = np.zeros((len(queries), len(held)))
+                    for b in range(codes.shape[1]):
+                        scores += joint[:, b].take(codes[:, b], axis=1)
+                    scores = scores * held.field("scale").to_numpy()[None, :] + (queries @ q.centres[file])[:, None]
+                    keep = min(RERANK, len(held))
+                    best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                    found = [np.repeat(asked.field(k).to_numpy(), keep) for k in ("q1", "q2")] + [held.field(k).to_numpy()[best].ravel() for k in ("k1", "k2")]
+                    found = [*found, np.take_along_axis(scores, best, axis=1).ravel()]
+                    kept[own] = _best([np.concatenate(c) for c in zip(kept[own], found)] if own in kept else found)
+        yield from best_of(kept)
+
+    # all files that a query probes come to one task, which passes on each query's best of them all
+    met = asking.join(pieces, "file").select("lot", "file", "asking", "held")
+    met = met.repartition(tasks, "lot").sortWithinPartitions("lot")
+    guessed = met.mapInArrow(scan, "q1 long, q2 long, k1 long, k2 long, guess double")
     return _ranked(guessed, RERANK, entries, questions, copies, asked, nearest)
 
 

@@ -819,6 +819,18 @@ def test_search_recall_ties_and_odd_rows(spark):
     assert np.allclose(got.score, exact, rtol=0, atol=1e-9)
 
 
+def test_search_passes_on_rows_by_queries_alone(spark, monkeypatch):
+    """Vectors without clusters: all files are probed, and still each query's best go on once, not once a file."""
+    x = np.random.default_rng(12).normal(size=(4000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    made = []
+    plain = ann._ranked
+    monkeypatch.setattr(ann, "_ranked", lambda guessed, *rest: made.append(guessed.count()) or plain(guessed, *rest))
+    found = ann.search(frame, F.col("vec_id") % 20 == 0)
+    assert found.count() == 200 * 20
+    assert made[0] <= 200 * ann.RERANK
+
+
 def test_memory_of_search_is_bounded_with_many_centres():
     """A batch of 10,000 vectors against 4,096 centres is not one matrix of 328 MB."""
     rng = np.random.default_rng(3)
