@@ -297,6 +297,44 @@ def test_wide_bands_take_little_disk(spark, monkeypatch):
     assert max(peak) < 8 * sum(map(len, texts))
 
 
+def test_like_lines_share_a_key_and_unlike_ones_seldom(spark):
+    """All pairs of like lines, of one character to hundreds, share a key; lines of the same common words make few rows."""
+    from quern.llm import common
+
+    rng = np.random.default_rng(41)
+    letters = list("abcdefghijklmnoprstuvwé")
+    firsts = ["".join(rng.choice(letters, int(rng.integers(1, 30)))) for _ in range(150)]
+    words = ["".join(rng.choice(letters, 9)) for _ in range(30)]
+    firsts += [" ".join(words[int(w)] for w in rng.integers(0, 30, int(rng.integers(2, 60)))) for _ in range(150)]
+    texts = set(firsts)
+    for line in firsts:
+        for edits in (1, len(line) // 60 + 1, len(line) // 40 + 1):
+            edited = list(line)
+            for at in rng.integers(0, len(line), edits):
+                edited[at] = "z" * int(rng.integers(0, 3))
+            texts.add("".join(edited) or "z")
+    texts = sorted(texts)
+    every = [gram_set(t) for t in texts]
+    stage = common.Scratch(spark)
+    held = stage(spark.createDataFrame(list(enumerate(texts)), "v long, norm string"), "texts")
+    keys = lines._keys(stage, held.select("v"), held).collect()
+    stage.drop()
+    found = {}
+    for r in keys:
+        found.setdefault(r.v, set()).add(r.key)
+    like = [(a, b) for b in range(len(every)) for a in range(b) if len(every[a] & every[b]) >= 0.8 * len(every[a] | every[b])]
+    assert len(like) > 250
+    assert all(found.get(a, set()) & found.get(b, set()) for a, b in like)
+
+    unlike = sorted({" ".join(words[int(w)] for w in rng.integers(0, 30, 12)) for _ in range(2000)})
+    stage = common.Scratch(spark)
+    held = stage(spark.createDataFrame(list(enumerate(unlike)), "v long, norm string"), "texts")
+    rows = lines._keys(stage, held.select("v"), held).groupBy("key").count().selectExpr("sum(count * (count - 1) / 2) AS pairs").first().pairs
+    stage.drop()
+    # most pairs have a word in common, and so a single shingle
+    assert (rows or 0) < len(unlike) * (len(unlike) - 1) / 2 / 10
+
+
 # Packing
 
 
