@@ -898,3 +898,31 @@ def test_repeated_rows_count_once(spark):
     rows = spark.createDataFrame(copies * 2 + copies[:1] * 25 + [(100 + i, [0.5, 0.01 * i]) for i in range(30)], "vec_id long, embedding array<float>")
     got = ann.search(rows, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 21))
+
+
+def test_lines_of_a_key_are_compared_without_rows_for_unlike_pairs(spark, monkeypatch):
+    """Of lines that share a key, pairs that sizes or folded sets rule out are never formed; no like pair is lost, block against block either."""
+    from quern.llm import common
+
+    rng = np.random.default_rng(43)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), 7))
+    texts = [" ".join(word() for _ in range(10 + i % 30)) for i in range(300)]
+    texts += [t[:20] + "z" + t[21:] for t in texts[:100]]
+    every = [gram_set(t) for t in texts]
+    like = {(a, b) for a in range(len(every)) for b in range(a) if len(every[a] & every[b]) >= 0.8 * len(every[a] | every[b])}
+    assert len(like) >= 90
+    stage = common.Scratch(spark)
+    held = stage(spark.createDataFrame(list(enumerate(texts)), "v long, norm string"), "texts")
+    keys = stage(held.selectExpr("v", "7L as key"), "keys")
+    labels = held.selectExpr("v", "v as label").where("false")
+    bits = lines._folded(stage, held.select("v"), held)
+    for cluster, block in ((512, 4096), (100, 64)):
+        monkeypatch.setattr(lines, "CLUSTER", cluster)
+        monkeypatch.setattr(lines, "BLOCK", block)
+        got = {(r.a, r.b) for r in lines._met(stage, keys, labels, bits, False).collect()}
+        assert like <= got and len(got) < 3 * len(like), block
+        ends = {(r.a, r.b) for r in lines._met(stage, keys, labels, bits, True).collect()}
+        assert {p for p in like if 0 in p or 399 in p} <= ends
+    settled = stage(held.selectExpr("v", "0L as label"), "labels")
+    assert lines._met(stage, keys, settled, bits, False).count() == 0
+    stage.drop()
