@@ -824,6 +824,21 @@ def test_array_covers_what_all_repeated_substrings_cover(spark):
         assert html.page_text(rows[list(streams).index((host, i))].html, sorted(p for p in want if all(p + k in want for k in range(html.DEPTH)) and len(holders[host, tuple(w[p : p + html.DEPTH])]) >= html.PAGES)) == (" ".join(tokens) or " ".join(w))
 
 
+def test_array_reads_articles_of_all_pages(spark):
+    """What most pages of a host have inside their articles goes without a telling tag or class; shared passages, copied articles and small hosts stay."""
+    tail = "Read all of our stories first and free of charge every morning"
+    shared = "a passage of more than six words that some articles share"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    page = lambda i, more: f"<nav>menu</nav><article><p>{own(i)}</p>{more}</article>"
+    rows = [(i, "http://a.example/", page(i, f"<p>{shared if i < 5 else 'none'}</p>" + (f"<p>{tail}</p>" if i < 9 or i > 10 else ""))) for i in range(14)]
+    rows += [(100 + i, "http://b.example/", page(100, f"<p>{i}</p>")) for i in range(14)]
+    rows += [(200 + i, "http://c.example/", page(i, f"<p>{tail}</p>")) for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"{own(i)} {shared if i < 5 else 'none'}" for i in range(14))
+    assert all(got[100 + i] == f"{own(100)} {i}" for i in range(14))
+    assert all(got[200 + i] == f"{own(i)} {tail}" for i in range(9))
+
+
 # Vector search
 
 
