@@ -274,6 +274,20 @@ def test_like_lines_of_common_shingles_alone(spark):
         assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == want, exact
 
 
+def test_wide_bands_meet_again_by_a_third_entry(spark):
+    """Lines of a wide band that share SHARED entries are candidates; bands of two common entries alone make no pairs and leave nothing to be joined."""
+    from quern.llm.common import Scratch
+
+    rows = [(v, [1, 2, *sorted(10 * v + k for k in range(10, 16))]) for v in range(0, 200, 2)]
+    rows += [(v + 1, sk[:3] + [1_000_000 + v * 8 + k for k in range(5)]) for v, sk in rows[:20]]
+    # a short signature is a candidate by less, so its band stays as it is
+    rows += [(1000 + v, [-5, -4, *sorted(5000 + 10 * v + k for k in range(6))]) for v in range(40)] + [(2000, [-5, -4, 7])]
+    pairs, wide = lines._candidates(Scratch(spark), spark.createDataFrame(rows, "v long, sk array<int>"))
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert {(v + 1, v) for v, _ in rows[:20]} == {p for p in got if p[0] < 1000}
+    assert {r.v for r in wide.collect()} == {*range(1000, 1040), 2000} and len({r.band for r in wide.collect()}) == 1
+
+
 def test_wide_bands_take_little_disk(spark, monkeypatch):
     """Lines of common shingles meet as short rows: what is staged at once stays near the size of the texts."""
     from pathlib import Path
