@@ -955,3 +955,19 @@ def test_lines_of_a_key_are_compared_without_rows_for_unlike_pairs(spark, monkey
     settled = stage(held.selectExpr("v", "0L as label"), "labels")
     assert lines._met(stage, keys, settled, bits, False).count() == 0
     stage.drop()
+
+
+def test_like_lines_give_no_more_rows_than_lines(spark, monkeypatch):
+    """Lines of a band are connected by fewer pairs than lines; a cluster too large for one row is settled by its bands, as brute force settles it."""
+    same = spark.createDataFrame([(v, 7, [1, 2, 3, *range(10 * v + 10, 10 * v + 15)]) for v in range(60)], "v long, key long, sk array<int>")
+    assert {(r.a, r.b) for r in lines._within(same, "key").collect()} == {(v, 0) for v in range(1, 60)}
+
+    rng = np.random.default_rng(47)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), 7))
+    texts = []
+    for _ in range(3):
+        stem = [word() for _ in range(20)]
+        texts += [" ".join(stem[: at % 20] + [word()] * (1 + at % 3) + stem[at % 20 + at % 4 :]) for at in range(36)]
+    monkeypatch.setattr(lines, "TOGETHER", 8)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == dict(brute_lines(list(enumerate(texts))))
